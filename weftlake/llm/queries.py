@@ -16,6 +16,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlake.llm.decontam import leaks
+
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlake.llm.langid import identify
 
@@ -29,6 +35,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", as_hex(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op6_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlake.llm.cws import fingerprint_pairs
+
+    return fingerprint_pairs(read_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlake.llm.packing import pack
 
@@ -49,8 +61,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op4_language_id": op4_language_id,
         "op5_simhash": op5_simhash,
+        "op6_weighted_fingerprints": op6_weighted_fingerprints,
         "op8_packing": op8_packing,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
