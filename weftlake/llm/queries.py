@@ -22,6 +22,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op2_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlake.llm.extract import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlake.llm.suffix import repeats
 
@@ -68,6 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_extraction": op2_extraction,
         "op3_suffix_repeats": op3_suffix_repeats,
         "op4_language_id": op4_language_id,
         "op5_simhash": op5_simhash,
