@@ -53,6 +53,12 @@ def op6_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_pairs(read_table(spark, sf_dir, "documents"))
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlake.llm.compact import near_passages
+
+    return near_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlake.llm.packing import pack
 
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_simhash": op5_simhash,
         "op6_weighted_fingerprints": op6_weighted_fingerprints,
+        "op7_compact_windows": op7_compact_windows,
         "op8_packing": op8_packing,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
