@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from weftlake.plans import cluster_queries, markup_queries, url_queries  # noqa: F401  they register themselves
+from weftlake.plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "tag_sequence_clusters"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
