@@ -12,11 +12,10 @@ from weftlake.plans.url_queries import _U
 
 _TAGS = "list_transform(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1), lambda t: lower(t))"
 _LANG = """regexp_extract(html, '<html lang="([^"]*)"', 1)"""
-LANG = F.regexp_extract("html", '<html lang="([^"]*)"', 1)
 
 
 def _sequences(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", "url", LANG.alias("lang"), F.array_join(markup.tag_sequence("html"), "|").alias("seq"))
+    return pages(spark, sf_dir).select("page_id", "url", F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"), F.array_join(markup.tag_sequence("html"), "|").alias("seq"))
 
 
 _CLUSTERS = f"""with s as (select page_id, url, {_LANG} as lang, array_to_string({_TAGS}, '|') as seq from pages),

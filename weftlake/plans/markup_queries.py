@@ -10,7 +10,10 @@ from weftlake.plans.registry import pages, query
 from weftlake.plans.url_queries import _LOCAL, _PATH, _U
 
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
-TITLE = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+
+
+def _title():
+    return F.regexp_extract("html", "<title>([^<]*)</title>", 1)
 
 
 def mod(n: int, *values: str):
@@ -74,7 +77,7 @@ _SEO_RE = r"""(?is)<title[^>]*>.*?</title>|<meta[^>]* name="description"[^>]*>|<
 
 def _seo_page():
     og = mod(4, "", '<meta property="og:title" content="t">', "<meta name=\"description\" content='d'>", '<script type="application/ld+json">{"a":"<b>"}</script><meta property="twitter:card" content="c"/>')
-    return F.concat(F.lit("<head>"), og, F.lit('<meta charset="utf-8"><title>'), TITLE, F.lit('</title><link rel="canonical" href="'), "url", F.lit('"></head>'))
+    return F.concat(F.lit("<head>"), og, F.lit('<meta charset="utf-8"><title>'), _title(), F.lit('</title><link rel="canonical" href="'), "url", F.lit('"></head>'))
 
 
 @query(f"select page_id, array_to_string(regexp_extract_all({_SEO}, '{_SEO_RE}'), chr(10)) as nodes from pages")
@@ -144,13 +147,13 @@ def template_slots(spark, sf_dir):
 
 @query(f"select page_id, {_FILLED} as html, 'missing_1' as missing from pages")
 def template_fill(spark, sf_dir):
-    values = F.create_map(F.lit("title"), TITLE, F.lit("url"), F.col("url"), F.lit("body"), F.lit("$1 {{title}}"))
+    values = F.create_map(F.lit("title"), _title(), F.lit("url"), F.col("url"), F.lit("body"), F.lit("$1 {{title}}"))
     return pages(spark, sf_dir).select("page_id", markup.fill_template(F.lit(TEMPLATE), values).alias("html"), F.array_join(markup.missing_slots(F.lit(TEMPLATE), values), ",").alias("missing"))
 
 
 @query(f"select page_id, trim({_TITLE}) as text from pages")
 def strip_fences(spark, sf_dir):
-    t = F.trim(TITLE)
+    t = F.trim(_title())
     raw = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("```html\n"), t, F.lit("\n```\n"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("\n```\n"), t, F.lit("```"))).otherwise(F.concat(F.lit("  "), t, F.lit("\n")))
     return pages(spark, sf_dir).select("page_id", markup.strip_fences(raw).alias("text"))
 
