@@ -8,7 +8,8 @@ hash-joined with those of the items. For each document and item the matched
 windows must cover enough of the item's tokens, and its slots must be consistent:
 equal slot values of the item have to stand for equal values in the document. A
 question with other numbers or names is caught so, with kind ``template``; equal
-values give ``verbatim``.
+values give ``verbatim``. A window with fewer than two plain tokens matches its own
+words only.
 
 Defined results: null and empty texts and items match nothing; an item of fewer
 tokens than a window is matched by one window of its own length; repeated items are
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftlake.llm.common import fresh
+
 WINDOW, COVERAGE, CONSISTENCY = 5, 0.8, 0.8
 #: Largest number of item windows that is sent to every executor; beyond it the join shuffles.
 BROADCAST_WINDOWS = 400_000
@@ -46,15 +49,20 @@ def windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
     rows = rows.select(key, text.alias("t")).where("t <> ''")
     rows = rows.select(key, F.split("t", r"\s+").alias("raw"), F.split(canonical(F.col("t")), r"\s+").alias("can"))
     strip = lambda t: F.btrim(t, F.lit(PUNCT))
+    is_slot = lambda t: F.regexp_like(t, F.lit("<(?:num|name|unit)>"))
     rows = rows.select(key, "raw", "can", F.transform("can", lambda t: F.xxhash64(strip(t))).alias("h"), F.exists("can", lambda t: t.contains("<")).alias("has"))
+    # a window of placeholders says nothing of its template: with fewer than two plain tokens it stands for its own words
+    rows = rows.withColumn("s", F.when(F.col("has"), F.transform("can", lambda t: is_slot(t).cast("int")))).withColumn("r", F.when(F.col("has"), F.transform("raw", lambda t: F.xxhash64(strip(F.lower(t)), F.lit(1)))))
 
     def slots(i: Column, w: int) -> Column:
-        pick = lambda j: F.when(F.regexp_like(F.get("can", j), F.lit("<(?:num|name|unit)>")), strip(F.lower(F.get("raw", j)))).otherwise(F.lit(""))
+        pick = lambda j: F.when(F.get("s", j) == 1, strip(F.lower(F.get("raw", j)))).otherwise(F.lit(""))
         return F.when(F.col("has"), F.array(*[pick(i + d) for d in range(w)]))
 
     def of_length(w: int) -> Column:
         n = F.size("h") - (w - 1)
-        body = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("h", i + 1, w)).alias("hash"), slots(i, w).alias("slots"))
+        bare = lambda i: F.col("has") & (sum((F.get("s", i + d) for d in range(w)), F.lit(0)) > max(0, w - 2))
+        code = lambda i: F.when(bare(i), F.xxhash64(F.slice("r", i + 1, w))).otherwise(F.xxhash64(F.slice("h", i + 1, w)))
+        body = lambda i: F.struct(i.alias("pos"), code(i).alias("hash"), slots(i, w).alias("slots"))
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), body))
 
     each = [of_length(w) for w in lengths]
@@ -94,5 +102,6 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: flo
 
 def keep_clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without a hit; all their columns."""
-    dirty = leaks(docs, items, **options).select(F.col("doc_id").alias("_wl_id")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("_wl_id")), "left_anti")
+    key = fresh(docs, "_wl_id")
+    dirty = leaks(docs, items, **options).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty[key]), "left_anti")

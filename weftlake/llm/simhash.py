@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import bound_batches, components, drop_stage, stage
+from weftlake.llm.common import bound_batches, components, fresh, stage
 
 SEED, PIECE = 42, 65_536
 SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))  # first bit, bits, radius of the ball
@@ -120,8 +120,9 @@ def keep_first(docs: DataFrame, radius: int = 4) -> DataFrame:
     """One document of each component: that with the component's smallest id. Of
     rows that repeat an id one is kept; rows with a null id are kept."""
     found = near_duplicates(docs.select("doc_id", "text"), radius)
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_wl_id")).agg(F.count(F.lit(1)).alias("_wl_n"))
-    named = docs.join(kept, docs["doc_id"] == F.col("_wl_id"))
-    by = Window.partitionBy("_wl_id").orderBy("text")
-    one = named.withColumn("_wl_rn", F.row_number().over(by)).where("_wl_rn = 1").select(*docs.columns)
+    key, rank = fresh(docs, "_wl_id"), fresh(docs, "_wl_rank")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    named = docs.join(kept, docs["doc_id"] == kept[key])
+    by = Window.partitionBy(key).orderBy("text")
+    one = named.withColumn(rank, F.row_number().over(by)).where(F.col(rank) == 1).select(*docs.columns)
     return one.unionByName(docs.where("doc_id is null"))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import bound_batches, drop_stage, stage
+from weftlake.llm.common import bound_batches, drop_stage, fresh, stage
 
 MIN_WORDS, SPAN, GRAM = 50, 30, 6
 BLOCK_BITS = 20  # positions inside one block of a very long text
@@ -327,8 +327,9 @@ def drop_repeats(docs: DataFrame, length: int = MIN_WORDS) -> DataFrame:
     bound_batches(spark)
     names = docs.columns
     at = names.index("text")
-    rows = docs.withColumn("_wl_rid", F.xxhash64("doc_id", "text")).join(cut.select(F.col("rid").alias("_wl_rid"), F.col("later").alias("_wl_cut")), "_wl_rid", "left")
-    rows = rows.select(*names, F.col("_wl_cut.first_word").alias("_wl_first"), F.col("_wl_cut.last_word").alias("_wl_last"))
+    rid, spans = fresh(docs, "_wl_rid"), fresh(docs, "_wl_cut")
+    rows = docs.withColumn(rid, F.xxhash64("doc_id", "text")).join(cut.select(F.col("rid").alias(rid), F.col("later").alias(spans)), rid, "left")
+    rows = rows.select(*names, F.col(f"{spans}.first_word").alias(rid), F.col(f"{spans}.last_word").alias(spans))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
