@@ -45,7 +45,7 @@ def admitted(wish: dict[tuple[int, int], int], held: list[int], quota: list[int]
     return share
 
 
-def propagate(linked: DataFrame, quota: list[int], rounds: int = 5) -> DataFrame:
+def propagate(linked: DataFrame, quota: list[int], rounds: int = 8) -> DataFrame:
     """``linked(g, n, shard, ...)`` with shards after the moves. A round joins each
     document with its text's most common shard that has room."""
     shards = len(quota)
@@ -54,8 +54,8 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = 5) -> DataFrame
         held = [0] * shards
         for r in hist.groupBy("shard").agg(F.sum("c")).collect():
             held[r[0]] = r[1]
-        # a shard that is full takes nobody in, but keeps those it has
-        full = [s for s in range(shards) if held[s] >= quota[s]]
+        # a shard that is full, or nearly, takes nobody in, but keeps those it has
+        full = [s for s in range(shards) if held[s] >= 0.98 * quota[s]]
         strength = F.struct(F.when(F.col("shard").isin(full), F.lit(0)).otherwise(F.col("c")).alias("c"), F.pmod(F.xxhash64("g", "shard"), F.lit(1024)).alias("h"), F.col("shard").alias("to"))
         best = hist.groupBy("g").agg(F.max(strength).alias("b")).select("g", F.col("b.to").alias("to"), F.col("b.c").alias("most"))
         # move only where at least as many neighbours are; on equal counts the hash has named one shard for all
@@ -81,7 +81,7 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = 5) -> DataFrame
     return linked
 
 
-def shard(docs: DataFrame, shards: int = 8, rounds: int = 5) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, rounds: int = 8) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.octet_length(text), F.crc32(text.cast("binary"))).alias("g"))
