@@ -130,7 +130,8 @@ def _groups(hist: dict[int, int], large: list[int], count: int) -> list[list[tup
 
 
 def _configurations(sizes: list[int], capacity: int) -> np.ndarray:
-    """All maximal-or-not multisets of ``sizes`` (longest first) that fit, as counts."""
+    """All multisets of ``sizes`` (longest first) that fit, as rows of indices; -1 is none."""
+    most = capacity // min(sizes)
     found: list[list[int]] = []
 
     def extend(at: int, room: int, own: list[int]) -> None:
@@ -140,36 +141,40 @@ def _configurations(sizes: list[int], capacity: int) -> np.ndarray:
                 extend(i, room - sizes[i], found[-1])
 
     extend(0, capacity, [])
-    out = np.zeros((len(found), len(sizes)))
-    for row, own in zip(out, found):
-        np.add.at(row, own, 1)
-    return out
+    return np.array([own + [-1] * (most - len(own)) for own in found])
 
 
 def _solve(config: np.ndarray, need: np.ndarray) -> list[tuple[np.ndarray, float]]:
-    """min sum x with config' x = need by the revised simplex method: the basis starts
-    with the one-item configurations, the configuration of best reduced cost enters."""
+    """min sum x over configurations that use each size as often as needed, by the revised
+    simplex method: the basis starts with the one-item configurations, the configuration
+    of best reduced cost enters."""
     n = len(need)
-    basis = np.eye(n)
+    basis, inv = np.eye(n), np.eye(n)
     x = need.astype(float).copy()
-    for _ in range(4000):
-        inv = np.linalg.inv(basis)
-        price = inv.T @ np.ones(n)
-        gain = config @ price
+    for step in range(20 * n):
+        if step % 50 == 0:
+            inv = np.linalg.inv(basis)
+        price = np.append(inv.sum(0), 0.0)  # the last one is for "none"
+        gain = price[config].sum(1)
         k = int(gain.argmax())
         if gain[k] <= 1 + 1e-7:
             break
-        d = inv @ config[k]
+        column = np.bincount(config[k][config[k] >= 0], minlength=n).astype(float)
+        d = inv @ column
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         out = int(ratio.argmin())
-        step = ratio[out]
-        x = np.maximum(x - step * d, 0)
-        x[out] = step
-        basis[:, out] = config[k]
+        amount = ratio[out]
+        x = np.maximum(x - amount * d, 0)
+        x[out] = amount
+        basis[:, out] = column
+        row = inv[out] / d[out]
+        inv = inv - np.outer(d, row)
+        inv[out] = row
+    x = np.maximum(np.linalg.solve(basis, need.astype(float)), 0)
     return [(basis[:, i].astype(int), float(x[i])) for i in range(n)]
 
 
-def make_plan(hist: dict[int, int], capacity: int = 1024, groups: int = 32, large_over: int | None = None) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def make_plan(hist: dict[int, int], capacity: int = 1024, groups: int = 128, large_over: int | None = None) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Runs (length, first rank, count, first sequence, offset) for every item of the
     histogram, and the number of sequences."""
     plan: list[tuple[int, int, int, int, int]] = []
@@ -241,7 +246,7 @@ def make_plan(hist: dict[int, int], capacity: int = 1024, groups: int = 32, larg
     return plan, seqs
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, groups: int = 32, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, groups: int = 128, with_ids: bool = False) -> DataFrame:
     """Pieces with their place: ``doc_id, piece, start, length, ids_crc32, sequence_id,
     offset`` and, with ``with_ids``, the ids."""
     spark = docs.sparkSession
