@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftlake.llm.common import read_table
 
@@ -31,7 +32,24 @@ def op2_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlake.llm.suffix import repeats
 
-    return repeats(read_table(spark, sf_dir, "documents")).drop("rid")
+    found = repeats(read_table(spark, sf_dir, "documents"))
+    as_text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["first_word"].cast("string"), s["last_word"].cast("string"))), " ")
+    return found.select("doc_id", "n_repeated", "n_later", as_text("spans").alias("spans"), as_text("later").alias("later"))
+
+
+#: Words in windows of 50 that occur again; the later ones in the order of doc_id and place.
+OP3_SQL = """
+with d as (select distinct doc_id, text, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, text, w, unnest(range(0, greatest(len(w) - 49, 0))) as i from d),
+h as (select doc_id, text, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) as h from s),
+n as (select doc_id, text, i, count(*) over (partition by h) as n, row_number() over (partition by h order by doc_id, i) as rn from h),
+p as (select doc_id, 'spans' as k, i from n where n > 1 union all select doc_id, 'later', i from n where n > 1 and rn > 1),
+g as (select doc_id, k, i, sum(case when i <= prev + 50 then 0 else 1 end) over (partition by doc_id, k order by i) as run
+  from (select *, lag(i) over (partition by doc_id, k order by i) as prev from p)),
+r as (select doc_id, k, min(i) as a, max(i) + 49 as b from g group by doc_id, k, run)
+select doc_id, sum(case when k = 'spans' then b - a + 1 else 0 end)::bigint as n_repeated, sum(case when k = 'later' then b - a + 1 else 0 end)::bigint as n_later,
+  coalesce(string_agg(a || '-' || b, ' ' order by a) filter (where k = 'spans'), '') as spans, coalesce(string_agg(a || '-' || b, ' ' order by a) filter (where k = 'later'), '') as later
+from r group by doc_id"""
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +111,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_suffix_repeats": OP3_SQL}
