@@ -182,3 +182,32 @@ def test_stream(spark, sf, tmp_path):
     state = incremental.read_state(spark, str(tmp_path / "state"))
     paths = pages.where("page_id < 30").select(urls.local_path("url").alias("p")).distinct().count()
     assert state.count() == state.select("local_path").distinct().count() == paths
+
+
+def test_transport():
+    from weftlake.operators import transport
+
+    calls = []
+    own = lambda system, user, model: calls.append((user, model)) or "text"
+    assert transport.generate("hi", Settings(), transport=own) == "text" and calls == [("hi", "local/default")]
+    assert transport.transport_for(Settings("remote", "acme/m"), {"acme": own}) is own
+    for settings in (Settings("remote", "none/m"), Settings("remote", "m"), Settings()):
+        with pytest.raises(ValueError):
+            transport.transport_for(settings, {})
+
+
+def test_export(spark, tmp_path):
+    from weftlake.sources import sinks
+
+    files = spark.createDataFrame([("pages/a/index.html", "<p>é"), ("../out.html", "x")], "local_path string, html string")
+    got = {r["path"]: (r["bytes"], r["error"] is None) for r in sinks.export_files(files, str(tmp_path / "site")).collect()}
+    assert got == {"pages/a/index.html": (5, True), "../out.html": (0, False)}
+    assert (tmp_path / "site" / "pages" / "a" / "index.html").read_text() == "<p>é" and not (tmp_path / "out.html").exists()
+    sinks.write_sitemap(reports.sitemap_xml(files.withColumn("m", F.current_timestamp()), "local_path", "m", "https://e.org"), str(tmp_path / "map"))
+    assert len(list((tmp_path / "map").glob("part=0/*.txt"))) >= 1
+
+
+def test_fetch_assets(spark):
+    refs = spark.createDataFrame([("https://e.org/a.css", "css", 0), ("https://e.org/a.css", "img", 1), ("https://e.org/none", "js", 2)], "url string, type string, ord int")
+    got = {r["url"]: (r["type"], r["local_path"]) for r in readers.fetch_assets(refs, lambda u: (200, b"x") if "css" in u else (500, b""), hosts=1, delay=0.0).collect()}
+    assert got["https://e.org/none"] == ("js", None) and got["https://e.org/a.css"][0] == "css" and got["https://e.org/a.css"][1].startswith("assets/css/a-2d711642")

@@ -59,3 +59,12 @@ def fetch_robots(requests: DataFrame, get: Fetch, url: str = "url", **options) -
     by_host = requests.select(urls.host(url).alias("host"), urls.scheme(url).alias("s")).where("host <> ''").groupBy("host").agg(F.min("s").alias("s"))
     asked = by_host.select("host", F.concat("s", F.lit("://"), "host", F.lit("/robots.txt")).alias("url"))
     return asked.join(fetch(asked, get, **options), "url").select("host", F.col("body").cast("string").alias("txt"))
+
+
+def fetch_assets(refs: DataFrame, get: Fetch, **options) -> DataFrame:
+    """``url, type, local_path, body, error``: each address once, under a name that holds
+    the hash of its content, below ``assets/<type>/``."""
+    todo = refs.groupBy("url").agg(F.min("type").alias("type")) if "ord" not in refs.columns else refs.groupBy("url").agg(F.min_by("type", "ord").alias("type"))
+    got = fetch(todo, get, **options).join(todo, "url")
+    name = F.concat(F.lit("assets/"), "type", F.lit("/"), urls.hashed_name("url", "type", "body"))
+    return got.select("url", "type", F.when(F.col("body").isNotNull(), name).alias("local_path"), "body", "error")
