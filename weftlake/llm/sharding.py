@@ -59,10 +59,11 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = 8) -> DataFrame
         strength = F.struct(F.when(F.col("shard").isin(full), F.lit(0)).otherwise(F.col("c")).alias("c"), F.pmod(F.xxhash64("g", "shard"), F.lit(1024)).alias("h"), F.col("shard").alias("to"))
         best = hist.groupBy("g").agg(F.max(strength).alias("b")).select("g", F.col("b.to").alias("to"), F.col("b.c").alias("most"))
         # move only where at least as many neighbours are; on equal counts the hash has named one shard for all
-        moves = hist.join(best, "g").where("shard <> to and most >= c").select("g", "shard", "to", "c")
+        moves = stage(hist.join(best, "g").where("shard <> to and most >= c").select("g", "shard", "to", "c"), "shard-moves")
         wish = {(r[0], r[1]): r[2] for r in moves.groupBy("shard", "to").agg(F.sum("c")).collect()}
         if not wish:
             drop_stage(hist)
+            drop_stage(moves)
             break
         share = admitted(wish, held, quota)
         part = F.lit(0.0)
@@ -74,8 +75,8 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = 8) -> DataFrame
         moved = linked.join(target, (F.col("g") == F.col("_g")) & (F.col("shard") == F.col("_s")), "left")
         new = F.when(F.col("to").isNotNull() & (coin < part), F.col("to")).otherwise(F.col("shard"))
         old, linked = linked, stage(moved.withColumn("_new", new).select(*[F.col("_new").alias("shard") if c == "shard" else c for c in linked.columns]), "shard-round")
-        drop_stage(old)
-        drop_stage(hist)
+        for df in (old, hist, moves):
+            drop_stage(df)
         if sum(n * share[k] for k, n in wish.items()) < 0.5:
             break
     return linked
@@ -88,8 +89,9 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 8) -> DataFrame:
     rows = stage(rows, "shard-rows")
     total = rows.count()
     quota, buckets = quotas(total, shards), parts_for(total)
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    rows = stage(rows.join(sizes, "g"), "shard-grouped")
+    # written first, so that Spark may split a large group's rows over many join tasks
+    sizes = stage(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shard-sizes")
+    rows = stage(rows.join(sizes, "g", "left").withColumn("n", F.coalesce("n", F.lit(1))), "shard-grouped")
     spread = ["doc_id", "g", "size"]
     linked = rows.where("n > 1").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int"))
     linked = propagate(stage(linked, "shard-start"), quota, rounds)
