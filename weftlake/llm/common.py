@@ -47,17 +47,29 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     return out
 
 
+#: Tables written by the current application; a result may still read them.
+_staged: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete what :func:`stage` wrote once nothing reads it any more."""
-    spark = df.sparkSession
-    path = getattr(df, "_weft_path", None)
-    if path:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path := getattr(df, "_weft_path", None):
+        _delete(df.sparkSession, path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete all that operators have staged, once their results have been written."""
+    for path in _staged.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
 
 
 def parts_for(rows: int, per: int = 20_000) -> int:
