@@ -354,6 +354,16 @@ def test_near_passage_edges(odd, empty):
     assert compact.near_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("many", [64, 2])
+def test_every_pair_of_texts_is_linked(spark, monkeypatch, many):
+    """Every two of k texts with a passage in common are linked, in small and large runs."""
+    monkeypatch.setattr(compact, "MANY", many, raising=False)
+    shared, k = passage(300, 80), 7
+    texts = [passage(310 + i, 90) + " " + shared + " " + passage(330 + i, 90) for i in range(k)]
+    found = compact.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["n_links"] for r in found} == {i: k - 1 for i in range(k)}
+
+
 # ---- 8 packing ----
 
 
