@@ -364,6 +364,27 @@ def test_every_pair_of_texts_is_linked(spark, monkeypatch, many):
     assert {r["doc_id"]: r["n_links"] for r in found} == {i: k - 1 for i in range(k)}
 
 
+@pytest.mark.parametrize("n", range(50, 91, 4))
+def test_passages_changed_in_the_middle(n):
+    """Brute force over the passage's cuts: a pair with a similar one is verified."""
+    for at in (n // 2, n // 3, n - 12):
+        core = passage(400 + n, n).split()
+        a, b = (passage(500 + n, 60) + " {} " + passage(600 + n, 60)).format(" ".join(core)), (passage(700 + n, 40) + " {} " + passage(800 + n, 40)).format(" ".join(core[:at] + ["changed"] + core[at + 1 :]))
+        sa, sb = compact.shingle_hashes(a), compact.shingle_hashes(b)
+
+        def likeness(i, j):
+            one, two = set(sa[60 + i : 60 + j - 4].tolist()), set(sb[40 + i : 40 + j - 4].tolist())
+            return len(one & two) / len(one | two)
+
+        expected = any(likeness(i, j) >= 0.8 for i in range(n - 49) for j in range(i + 50, n + 1))
+        seeds = [([60 + c], [40 + c]) for c in range(n - 4) if sa[60 + c] == sb[40 + c]]
+        found, swapped = compact.verify(sa, sb, seeds), compact.verify(sb, sa, [(y, x) for x, y in seeds])
+        assert bool(found) == bool(swapped) == expected and expected
+        for i, j, k, m in found:
+            one, two = set(sa[i : j - 3].tolist()), set(sb[k : m - 3].tolist())
+            assert min(j - i, m - k) + 1 >= 50 and len(one & two) >= 0.8 * len(one | two) and i <= 60 + n - 50
+
+
 # ---- 8 packing ----
 
 
