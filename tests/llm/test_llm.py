@@ -385,6 +385,19 @@ def test_passages_changed_in_the_middle(n):
             assert min(j - i, m - k) + 1 >= 50 and len(one & two) >= 0.8 * len(one | two) and i <= 60 + n - 50
 
 
+@pytest.mark.parametrize("at", [0, 24, 48])
+def test_passage_with_a_line_that_stands_elsewhere_too(at):
+    core = passage(900, 60).split()
+    a = passage(901, 80) + " " + " ".join(core) + " " + passage(902, 80)
+    line = " ".join(core[at : at + 12])
+    b = passage(903, 40) + " " + line + " " + passage(904, 200) + " " + " ".join(core) + " " + passage(905, 80) + " " + line
+    sa, sb = compact.shingle_hashes(a), compact.shingle_hashes(b)
+    start = 40 + 12 + 200
+    for x in (0, 20, 55):
+        assert compact.verify(sa, sb, [([80 + x], [start + x])]) == [(80, 139, start, start + 59)]
+        assert compact.verify(sb, sa, [([start + x], [80 + x])]) == [(start, start + 59, 80, 139)]
+
+
 # ---- 8 packing ----
 
 
