@@ -90,6 +90,25 @@ def test_reparameterised_questions(spark):
     assert by_doc[0] == 1.0 and (6 not in by_doc or by_doc[6] < 1.0)
 
 
+def test_occurrences_are_judged_one_by_one(spark):
+    """A question held twice with different values, and a copy among stray windows."""
+    q = "if the farmer sells {} apples at the market and buys {} pears then how much money will be left today"
+    items = spark.createDataFrame([(1, q.format(12, 12))], "item_id bigint, text string")
+    stray = " then we saw that he sells {} apples at the fair , and so on"
+    texts = [
+        q.format(99, 99) + " . some other words stand here . " + q.format(7, 7),
+        q.format(12, 12) + " . and once more : " + q.format(5, 5),
+        "well " + q.format(12, 12) + "".join(" . the farmer sells {} apples at the fair".format(i) for i in range(40, 60)),
+        q.format(1, 2) + " . " + q.format(3, 4),
+        stray.format(3),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontam.leaks(docs, items).collect()}
+    assert {d: r["kind"] for d, r in got.items()} == {0: "template", 1: "verbatim", 2: "verbatim"}
+    assert (got[2]["first_word"], got[2]["last_word"]) == (1, len(q.split()))
+    assert [r["doc_id"] for r in decontam.keep_clean(docs, items).orderBy("doc_id").collect()] == [3, 4]
+
+
 def test_leaks_edges(spark, odd, empty):
     items = spark.createDataFrame([(1, passage(1)), (1, passage(1)), (None, "one")], "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(odd, items).collect()}

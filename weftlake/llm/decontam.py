@@ -4,9 +4,12 @@ Texts and benchmark items are cut at white space; a token that holds digits beco
 ``<num>`` (with a unit glued to it, too), a unit after a number ``<unit>``, a
 capitalised word inside a sentence ``<name>``; other tokens are lower-cased and
 lose their outer punctuation. Windows of ``window`` such tokens are hashed and
-hash-joined with those of the items. For each document and item the matched
-windows must cover enough of the item's tokens, and its slots must be consistent:
-equal slot values of the item have to stand for equal values in the document. A
+hash-joined with those of the items. Matched windows are gathered by occurrence: those
+with the same offset (place in the document minus place in the item), those whose
+offsets differ by up to a quarter of the item, and, for items that are spread out,
+those of the whole document. In one of them they must cover enough of the item's
+tokens, and its slots must be consistent: equal slot values of the item have to stand
+for equal values there. The best occurrence of each document and item is returned. A
 question with other numbers or names is caught so, with kind ``template``; equal
 values give ``verbatim``. A window with fewer than two plain tokens matches its own
 words only.
@@ -87,17 +90,25 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: flo
     found = windows(docs.select("doc_id", "text"), "doc_id", sorted({*short, window}))
     hits = found.select("doc_id", "hash", "pos", "slots").join(bench, F.col("hash") == F.col("h2"))
     hits = hits.select("doc_id", "item_id", "n_item", "pos", "at", "len", "slots", "asked").distinct()
-    key = ["doc_id", "item_id", "n_item"]
+    # occurrences: all of the document (0), overlapping ranges of offsets (1), one offset (2)
+    offset, step = F.col("pos") - F.col("at"), F.greatest(F.lit(1), F.floor(F.col("n_item") / 4)).cast("int")
+    at = lambda level, place: F.struct(F.lit(level).alias("level"), place.cast("bigint").alias("place"))
+    slot_of = F.floor(offset / step)
+    hits = hits.withColumn("occ", F.explode(F.array(at(0, F.lit(0)), at(1, slot_of), at(1, slot_of - 1), at(2, offset))))
+    key = ["doc_id", "item_id", "n_item", "occ"]
     covered = hits.select(*key, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1)).alias("p"), F.col("pos").alias("d"), F.col("len")).groupBy(*key).agg(F.count_distinct("p").alias("covered"), F.min("d").alias("first_word"), (F.max(F.col("d") + F.col("len")) - 1).alias("last_word"))
     pair = F.explode(F.arrays_zip("asked", "slots"))
     slot = hits.where("asked is not null and slots is not null").select(*key, pair.alias("z")).where("z.asked <> '' and z.slots <> ''")
     votes = slot.groupBy(*key, F.col("z.asked").alias("a"), F.col("z.slots").alias("s")).count()
     by_value = votes.groupBy(*key, "a").agg(F.max("count").alias("top"), F.sum("count").alias("all"), F.bool_and(F.col("a") == F.col("s")).alias("same"))
     agreed = by_value.groupBy(*key).agg((F.sum("top") / F.sum("all")).alias("agree"), F.bool_and("same").alias("same"))
-    c, a = covered.alias("c"), agreed.alias("a")
-    both = c.join(a, F.col("c.doc_id").eqNullSafe(F.col("a.doc_id")) & F.col("c.item_id").eqNullSafe(F.col("a.item_id")) & (F.col("c.n_item") == F.col("a.n_item")), "left")
-    out = both.select("c.doc_id", "c.item_id", F.col("c.n_item").cast("bigint").alias("n_item"), F.col("covered").cast("bigint").alias("covered"), (F.col("covered") / F.col("c.n_item")).alias("coverage"), F.coalesce("agree", F.lit(1.0)).alias("consistency"), F.when(F.coalesce("same", F.lit(True)), F.lit("verbatim")).otherwise(F.lit("template")).alias("kind"), F.col("first_word").cast("bigint").alias("first_word"), F.col("last_word").cast("bigint").alias("last_word"))
-    return out.where((F.col("coverage") >= coverage) & (F.col("consistency") >= consistency))
+    c, a = covered.where(F.col("covered") / F.col("n_item") >= coverage).alias("c"), agreed.alias("a")
+    both = c.join(a, F.col("c.doc_id").eqNullSafe(F.col("a.doc_id")) & F.col("c.item_id").eqNullSafe(F.col("a.item_id")) & (F.col("c.n_item") == F.col("a.n_item")) & (F.col("c.occ") == F.col("a.occ")), "left")
+    each = both.select("c.doc_id", "c.item_id", "c.n_item", "c.occ", "covered", F.coalesce("agree", F.lit(1.0)).alias("consistency"), F.coalesce("same", F.lit(True)).alias("same"), "first_word", "last_word").where(F.col("consistency") >= consistency)
+    # the best: verbatim, consistent, covered, close together, early
+    best = F.max(F.struct("same", "consistency", "covered", F.col("occ.level").alias("level"), (-F.col("first_word")).alias("early"), "last_word")).alias("o")
+    out = each.groupBy("doc_id", "item_id", "n_item").agg(best)
+    return out.select("doc_id", "item_id", F.col("n_item").cast("bigint").alias("n_item"), F.col("o.covered").cast("bigint").alias("covered"), (F.col("o.covered") / F.col("n_item")).alias("coverage"), F.col("o.consistency").alias("consistency"), F.when(F.col("o.same"), F.lit("verbatim")).otherwise(F.lit("template")).alias("kind"), (-F.col("o.early")).cast("bigint").alias("first_word"), F.col("o.last_word").cast("bigint").alias("last_word"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
