@@ -7,6 +7,7 @@ import collections
 import hashlib
 import math
 import random
+import types
 
 import numpy as np
 import pytest
@@ -556,6 +557,27 @@ def test_pipeline_edges(spark, sf, odd, empty):
         assert (docs.count() > 0) == (start is odd)
 
 
+@pytest.mark.parametrize("labels, kept", [(1, [0, 1, 2, 3, 4]), (2, [4]), (3, [3, 4]), (4, [2, 3, 4]), (20, [1, 2, 3, 4])])
+def test_language_rejects_by_score(spark, monkeypatch, labels, kept):
+    import corpus_pipeline as cp
+
+    scores = [0.06, 0.12, 0.32, 0.52, 0.62]
+    docs = spark.createDataFrame([(i, "text", s) for i, s in enumerate(scores)], "doc_id bigint, text string, score double").withColumn("lang", F.lit(None).cast("string"))
+    monkeypatch.setattr(cp, "train", lambda docs: types.SimpleNamespace(langs=[str(i) for i in range(labels)]))
+    monkeypatch.setattr(cp, "label", lambda docs, model: docs.withColumn("lang_pred", F.lit("0")))
+    assert sorted(r["doc_id"] for r in cp.language(spark, docs, "").collect()) == kept
+
+
+def test_two_languages_keep_short_clean_texts(spark, docs):
+    import corpus_pipeline as cp
+
+    two = [r[0] for r in docs.where("lang is not null").select("lang").distinct().orderBy("lang").limit(2).collect()]
+    some = docs.where(F.col("lang").isin(two) & F.col("text").rlike(r"\p{L}"))
+    short = some.select(*[F.substring_index("text", " ", 6).alias("text") if c == "text" else c for c in some.columns]).where(F.col("text").rlike(r"\p{L}"))
+    both = some.unionByName(short.withColumn("doc_id", -1 - F.col("doc_id")))
+    assert cp.language(spark, both, "").count() >= 0.98 * both.count()
+
+
 def test_components_of_a_long_chain(spark):
     from weftlake.llm.common import components
 
