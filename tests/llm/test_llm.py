@@ -5,8 +5,10 @@ empty tables, extra columns with clashing names."""
 import binascii
 import collections
 import hashlib
+import itertools
 import math
 import random
+import time
 import types
 
 import numpy as np
@@ -484,6 +486,41 @@ def test_plan(seed):
     assert seqs <= 1.02 * sum(k * v for k, v in hist.items()) / 1024 + 3
 
 
+@pytest.mark.parametrize("lengths", [range(205, 257), range(300, 345), range(205, 1024)])
+def test_plan_of_a_band_of_lengths(lengths):
+    """Many small sizes have millions of configurations; none of them are listed."""
+    began = time.time()
+    hist = {n: 500 + n % 7 for n in lengths}
+    plan, seqs = packing.make_plan(hist)
+    assert time.time() - began < 10 and sum(n for _, _, n, _, _ in plan) == sum(hist.values())
+    per = 1024 // min(lengths)
+    assert seqs <= 1.02 * max(sum(k * v for k, v in hist.items()) / 1024, sum(hist.values()) / per) + 3
+
+
+def test_best_configuration_against_all():
+    r = random.Random(8)
+    for _ in range(40):
+        sizes = np.array(r.sample(range(5, 40), 5))
+        price = np.array([r.random() for _ in sizes])
+        best = max(sum(p * k for p, k in zip(price, used)) for used in itertools.product(range(11), repeat=5) if sum(s * k for s, k in zip(sizes, used)) <= 50)
+        worth, used = packing._best_configuration(sizes, price, 50)
+        assert math.isclose(worth, best) and math.isclose(worth, float(price @ used)) and sizes @ used <= 50
+        m = np.array([[r.random() for _ in range(6)] for _ in range(6)])
+        assert np.allclose(packing._inverse(m) @ m, np.eye(6))
+
+
+def test_ids_are_the_librarys():
+    """Random strings over many scripts, blanks, contractions and special strings."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    tok, encode, r = Tokenizer.from_file(path), packing._encoder(path), random.Random(9)
+    pool = ["a", "the", "'s", "'LL", " ", "  ", "\n", "\t", "\u3000", "é", "ß", "Я", "中", "한", "😀", "1", "²", "_", "<|endoftext|>", "don't", "\u200d", "\x00", "ﬁ"]
+    for _ in range(3000):
+        t = "".join(r.choice(pool) if r.random() < 0.8 else chr(r.choice([r.randrange(32, 0x3000), r.randrange(0x1F300, 0x1F700)])) for _ in range(r.randrange(1, 40)))
+        assert encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 # ---- 9 sharding ----
 
 

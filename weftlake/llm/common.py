@@ -76,16 +76,17 @@ def parts_for(rows: int, per: int = 20_000) -> int:
     return max(1, -(-rows // per))
 
 
-def global_rank(df: DataFrame, keys: list[str], spread: list[Column | str], order: list[Column | str], out: str, buckets: int) -> DataFrame:
+def global_rank(df: DataFrame, keys: list[str], spread: list[Column | str], order: list[Column | str], out: str, buckets: int | Column) -> DataFrame:
     """Add ``out``: the 0-based gapless rank of each row within its ``keys``.
 
     Rows are dealt into ``buckets`` by the hash of ``spread``; ranks are taken
     within (keys, bucket), and offsets are running sums of the bucket counts, so a
-    key with a third of all rows is still ranked by many tasks. ``keys`` may be
-    empty (rank over all rows).
+    key with a third of all rows is still ranked by many tasks. ``buckets`` may be a
+    column that depends on the keys, so that rare keys have few. ``keys`` may be empty
+    (rank over all rows).
     """
     b, k = "_wl_bucket", "_wl_key"
-    df = df.withColumn(b, F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int"))
+    df = df.withColumn(b, F.pmod(F.xxhash64(*spread), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int"))
     df = df.withColumn(k, F.struct(*keys) if keys else F.lit(0))
     by = Window.partitionBy(k, b).orderBy(*order)
     ranked = df.withColumn("_wl_rn", F.row_number().over(by) - 1)

@@ -9,7 +9,7 @@ with the data:
 1. large lengths are sorted and put in groups of equal cardinality, each rounded
    up to its largest length;
 2. a linear programme over the configurations of these few sizes is solved by
-   column generation (all configurations are listed, the best reduced cost enters);
+   column generation (a knapsack over the capacity names the one to enter);
 3. configurations, rounded down, are filled with the actual lengths in order;
 4. what is left over and all small lengths go, longest first, to the open sequence
    with the least room that takes them.
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from weftlake.llm.common import bound_batches, global_rank, parts_for, stage
 
+RANKED = 1_000  # rows of one length that one task ranks, about
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -129,38 +130,62 @@ def _groups(hist: dict[int, int], large: list[int], count: int) -> list[list[tup
     return [g for g in groups if g]
 
 
-def _configurations(sizes: list[int], capacity: int) -> np.ndarray:
-    """All multisets of ``sizes`` (longest first) that fit, as rows of indices; -1 is none."""
-    most = capacity // min(sizes)
-    found: list[list[int]] = []
-
-    def extend(at: int, room: int, own: list[int]) -> None:
-        for i in range(at, len(sizes)):
-            if sizes[i] <= room:
-                found.append([*own, i])
-                extend(i, room - sizes[i], found[-1])
-
-    extend(0, capacity, [])
-    return np.array([own + [-1] * (most - len(own)) for own in found])
-
-
-def _solve(config: np.ndarray, need: np.ndarray) -> list[tuple[np.ndarray, float]]:
+def _best_configuration(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The multiset of ``sizes`` that fits and is worth most, by a knapsack over the
+    capacity: a round adds one more item, so there are ``capacity / min(sizes)`` at most.
+    Memory is rounds times capacity."""
+    rooms = np.arange(capacity + 1)
+    left = rooms[:, None] - sizes + capacity  # places before the first stand for no room
+    worth, chosen = np.zeros(capacity + 1), []
+    low = np.full(capacity, -np.inf)
+    for _ in range(capacity // int(sizes.min())):
+        with_one = np.concatenate([low, worth])[left] + price
+        pick = with_one.argmax(1)
+        most = with_one[rooms, pick]
+        better = most > worth + 1e-12
+        if not better.any():
+            break
+        chosen.append(np.where(better, pick, -1))
+        worth = np.where(better, most, worth)
+    used, room = np.zeros(len(sizes), np.int64), capacity
+    for pick in reversed(chosen):
+        if pick[room] >= 0:
+            used[pick[room]] += 1
+            room -= int(sizes[pick[room]])
+    return float(worth[capacity]), used
+
+
+def _inverse(m: np.ndarray) -> np.ndarray:
+    """By elimination, row by row: the driver's threaded matrix library can lock up
+    beside a running JVM, so none of it is used here."""
+    n = len(m)
+    both = np.hstack([m.astype(float), np.eye(n)])
+    for i in range(n):
+        k = i + int(np.abs(both[i:, i]).argmax())
+        if k != i:
+            both[[i, k]] = both[[k, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        both -= factor[:, None] * both[i]
+    return both[:, n:]
+
+
+def _solve(sizes: np.ndarray, need: np.ndarray, capacity: int, slack: float = 5e-4) -> list[tuple[np.ndarray, float]]:
     """min sum x over configurations that use each size as often as needed, by the revised
-    simplex method: the basis starts with the one-item configurations, the configuration
-    of best reduced cost enters."""
+    simplex method with column generation: the basis starts with one size to a
+    configuration, the configuration of best reduced cost enters. It ends when the sum is
+    within ``slack`` of its lower bound (sum / best worth)."""
     n = len(need)
-    basis, inv = np.eye(n), np.eye(n)
-    x = need.astype(float).copy()
-    for step in range(20 * n):
-        if step % 50 == 0:
-            inv = np.linalg.inv(basis)
-        price = np.append(inv.sum(0), 0.0)  # the last one is for "none"
-        gain = price[config].sum(1)
-        k = int(gain.argmax())
-        if gain[k] <= 1 + 1e-7:
+    basis = np.diag(capacity // sizes).astype(float)
+    inv = np.diag(1.0 / np.diag(basis))
+    x = need / np.diag(basis)
+    for step in range(1, 40 * n + 1):
+        worth, used = _best_configuration(sizes, inv.sum(0), capacity)
+        if worth <= 1 + slack:
             break
-        column = np.bincount(config[k][config[k] >= 0], minlength=n).astype(float)
-        d = inv @ column
+        column = used.astype(float)
+        d = (inv * column).sum(1)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         out = int(ratio.argmin())
         amount = ratio[out]
@@ -168,9 +193,11 @@ def _solve(config: np.ndarray, need: np.ndarray) -> list[tuple[np.ndarray, float
         x[out] = amount
         basis[:, out] = column
         row = inv[out] / d[out]
-        inv = inv - np.outer(d, row)
+        inv = inv - d[:, None] * row
         inv[out] = row
-    x = np.maximum(np.linalg.solve(basis, need.astype(float)), 0)
+        if step % 100 == 0:  # rounding does not pile up
+            inv = _inverse(basis)
+            x = np.maximum((inv * need).sum(1), 0)
     return [(basis[:, i].astype(int), float(x[i])) for i in range(n)]
 
 
@@ -188,9 +215,11 @@ def make_plan(hist: dict[int, int], capacity: int = 1024, groups: int = 128, lar
     rest: dict[int, list[tuple[int, int]]] = defaultdict(list)  # length -> [(first rank, items)]
     room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> [(first sequence, sequences)]
     if large:
-        runs = _groups(hist, large, groups)
-        sizes = [g[0][0] for g in runs]
-        for used, x in sorted(_solve(_configurations(sizes, capacity), np.array([sum(r[2] for r in g) for g in runs])), key=lambda c: -c[1]):
+        by_size: dict[int, list[tuple[int, int, int]]] = {}
+        for g in _groups(hist, large, groups):
+            by_size.setdefault(g[0][0], []).extend(g)  # groups rounded to one size are one
+        runs = list(by_size.values())
+        for used, x in sorted(_solve(np.array(list(by_size)), np.array([float(sum(r[2] for r in g)) for g in runs]), capacity), key=lambda c: -c[1]):
             slots, m = [i for i, k in enumerate(used) for _ in range(k)], int(x + 1e-6)
             m = min([m, *(sum(r[2] for r in runs[i]) // used[i] for i in set(slots))])
             if not m:
@@ -255,7 +284,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, grou
     plan, _ = make_plan(hist, capacity, groups)
     runs = np.array(sorted(plan) or [(0, 0, 0, 0, 0)], np.int64)
     shared = spark.sparkContext.broadcast((runs[:, 0] << 44 | runs[:, 1], runs))  # bounded by the capacity, see above
-    ranked = global_rank(items, ["length"], ["doc_id", "piece", "start"], ["doc_id", "piece", "ids_crc32"], "_wl_rank", parts_for(sum(hist.values())))
+    # a common length is ranked by as many tasks as its rows need, at most a bucket for each length besides
+    deal = F.element_at(F.split(F.lit(",".join(str(parts_for(hist.get(n, 0), RANKED)) for n in range(1, capacity + 1))), ",").cast("array<int>"), F.col("length").cast("int"))
+    ranked = global_rank(items, ["length"], ["doc_id", "piece", "start"], ["doc_id", "piece", "ids_crc32"], "_wl_rank", deal)
     names = [c for c in items.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
