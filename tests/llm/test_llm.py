@@ -376,14 +376,73 @@ def test_near_passage_edges(odd, empty):
     assert compact.near_passages(empty).count() == 0
 
 
-@pytest.mark.parametrize("many", [64, 2])
-def test_every_pair_of_texts_is_linked(spark, monkeypatch, many):
-    """Every two of k texts with a passage in common are linked, in small and large runs."""
-    monkeypatch.setattr(compact, "MANY", many, raising=False)
-    shared, k = passage(300, 80), 7
-    texts = [passage(310 + i, 90) + " " + shared + " " + passage(330 + i, 90) for i in range(k)]
-    found = compact.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
-    assert {r["doc_id"]: r["n_links"] for r in found} == {i: k - 1 for i in range(k)}
+def classes_by_brute_force(texts, least=46):
+    """Roots of the texts: two are linked where stretches of 50 words or more on both sides
+    have a similarity of 0.8; stretches on one diagonal, from anywhere to anywhere."""
+    sh = [compact.shingle_hashes(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if root(i) != root(j) and len(np.intersect1d(sh[i], sh[j])) >= 0.8 * least and compact.verify(sh[i], sh[j], [([x], np.flatnonzero(sh[j] == sh[i][x])) for x in range(0, len(sh[i]), 3) if (sh[j] == sh[i][x]).any()]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("run_rows", [1 << 18, 3])
+def test_every_text_of_a_hub_is_found(spark, monkeypatch, run_rows):
+    """200 texts around one core with an edit each are one class, whether a task orders
+    the runs by itself or the cluster sorts them once more."""
+    monkeypatch.setattr(compact, "RUN_ROWS", run_rows)
+    r = random.Random(77)
+    core, texts = passage(50, 80).split(), []
+    for k in range(200):
+        own = list(core)
+        own[r.randrange(80)] = f"edit{k}"
+        texts.append(passage(1000 + k, 40) + " " + " ".join(own) + " " + passage(2000 + k, 40))
+    other, line = passage(51, 100), passage(52, 20)
+    texts += [passage(3000 + k, 60) + " " + other + " " + passage(4000 + k, 50) for k in range(60)]  # copies of a passage
+    texts += [passage(5000 + k, 100) + " " + line + " " + passage(6000 + k, 100) for k in range(150)]  # a frequent line alone
+    pair = passage(53, 70).split()
+    texts += [passage(7000, 30) + " " + " ".join(pair[:20]) + " " + line + " " + " ".join(pair[20:]), " ".join(pair[:20]) + " " + line + " " + " ".join(pair[20:]) + passage(7001, 50)]
+    expected = classes_by_brute_force(texts)
+    assert expected[:200] == [0] * 200 and expected[200:260] == [200] * 60
+    found = {x["doc_id"]: x["class_id"] for x in compact.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)).collect()}
+    assert found == {i: c for i, c in enumerate(expected) if expected.count(c) > 1}
+
+
+def test_near_copies_are_found(spark):
+    """Pairs of texts with one edit in each 100 words, and short passages changed once."""
+    r = random.Random(78)
+    texts = []
+    for k in range(150):
+        w = passage(8000 + k, 300).split()
+        v = list(w)
+        for i in range(0, 300, 100):
+            v[i + r.randrange(100)] = f"edit{k}"
+        texts += [" ".join(w), " ".join(v)]
+    for k in range(150):
+        w = passage(9000 + k, 55).split()
+        v = list(w)
+        v[r.randrange(55)] = "edit"
+        texts += [passage(10_000 + k, 70) + " " + " ".join(w), " ".join(v) + " " + passage(11_000 + k, 70)]
+    found = {x["doc_id"]: x["class_id"] for x in compact.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    hit = [found.get(i) == found.get(i + 1) == i for i in range(0, len(texts), 2)]
+    assert sum(hit[:150]) == 150 and sum(hit[150:]) >= 0.98 * 150
+
+
+def test_a_long_text_and_its_parts(spark):
+    """Places beyond 4096 words, and a passage longer than a window's reach."""
+    long = passage(12_000, 20_000).split()
+    texts = [" ".join(long)] + [passage(12_001 + i, 30) + " " + " ".join(long[at : at + n]) for i, (at, n) in enumerate([(0, 60), (9_000, 55), (15_000, 600), (19_940, 60)])]
+    found = {x["doc_id"]: x for x in compact.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert {d: x["class_id"] for d, x in found.items()} == {i: 0 for i in range(5)}
+    assert {(s["first_word"], s["last_word"]) for s in found[0]["spans"]} == {(0, 59), (9_000, 9_054), (15_000, 15_599), (19_940, 19_999)}
 
 
 @pytest.mark.parametrize("n", range(50, 91, 4))

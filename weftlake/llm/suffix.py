@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlake.llm.common import bound_batches, drop_stage, fresh, stage
@@ -128,7 +128,7 @@ def suffixes(docs: DataFrame, length: int = MIN_WORDS) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, reach bigint, doc_id bigint, rid bigint, lo int, hi int")
 
 
-def _sorted(df: DataFrame, cols: list[str]) -> DataFrame:
+def _sorted(df: DataFrame, cols: list[Column | str]) -> DataFrame:
     """One order over the whole table; ranges take all columns, so equal keys are split."""
     return df.repartitionByRange(*cols).sortWithinPartitions(*cols)
 
