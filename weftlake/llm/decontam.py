@@ -9,15 +9,16 @@ with the same offset (place in the document minus place in the item), those whos
 offsets differ by up to a quarter of the item, and, for items that are spread out,
 those of the whole document. In one of them they must cover enough of the item's
 tokens, and its slots must be consistent: equal slot values of the item have to stand
-for equal values there. The best occurrence of each document and item is returned. A
+for equal values there, and the other way round. Slot values are only looked up for
+occurrences that cover their item. The best occurrence of each document and item is returned. A
 question with other numbers or names is caught so, with kind ``template``; equal
 values give ``verbatim``. A window with fewer than two plain tokens matches its own
 words only.
 
 Defined results: null and empty texts and items match nothing; an item of fewer
-tokens than a window is matched by one window of its own length; repeated items are
-separate hits; repeated document rows give one hit, as their windows coincide; a
-null id is kept as an id of its own.
+tokens than a window is matched by one window of its own length; items that repeat id
+and text are one item, document rows that do so give one hit; rows that share an id
+but not a text are judged, and dropped, one by one; a null id is an id of its own.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import fresh
+from weftlake.llm.common import fresh, stage
 
 WINDOW, COVERAGE, CONSISTENCY = 5, 0.8, 0.8
 #: Largest number of item windows that is sent to every executor; beyond it the join shuffles.
@@ -44,75 +45,101 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(x, r"<num>(\s)(?:" + "|".join(u.replace("/", "\\/") for u in sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?=[\s.,;:!?)]|\z)", "<num>$1<unit>")
 
 
-def windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
-    """``key, n, hash, pos, slots`` for every window of ``rows(key, text)``; slots
-    are the raw tokens of the window at placeholders, else ''. Several lengths
-    serve items shorter than a window."""
+_strip = lambda t: F.btrim(t, F.lit(PUNCT))
+_is_slot = lambda t: F.regexp_like(t, F.lit("<(?:num|name|unit)>"))
+
+
+def tokens(rows: DataFrame, key: str) -> DataFrame:
+    """``key, raw, can``: a text's words and their canonical forms, place by place."""
     text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\A\s+|\s+\z", ""))
     rows = rows.select(key, text.alias("t")).where("t <> ''")
-    rows = rows.select(key, F.split("t", r"\s+").alias("raw"), F.split(canonical(F.col("t")), r"\s+").alias("can"))
-    strip = lambda t: F.btrim(t, F.lit(PUNCT))
-    is_slot = lambda t: F.regexp_like(t, F.lit("<(?:num|name|unit)>"))
-    rows = rows.select(key, "raw", "can", F.transform("can", lambda t: F.xxhash64(strip(t))).alias("h"), F.exists("can", lambda t: t.contains("<")).alias("has"))
-    # a window of placeholders says nothing of its template: with fewer than two plain tokens it stands for its own words
-    rows = rows.withColumn("s", F.when(F.col("has"), F.transform("can", lambda t: is_slot(t).cast("int")))).withColumn("r", F.when(F.col("has"), F.transform("raw", lambda t: F.xxhash64(strip(F.lower(t)), F.lit(1)))))
+    return rows.select(key, F.split("t", r"\s+").alias("raw"), F.split(canonical(F.col("t")), r"\s+").alias("can"))
 
-    def slots(i: Column, w: int) -> Column:
-        pick = lambda j: F.when(F.get("s", j) == 1, strip(F.lower(F.get("raw", j)))).otherwise(F.lit(""))
-        return F.when(F.col("has"), F.array(*[pick(i + d) for d in range(w)]))
+
+def windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+    """``key, n, hash, pos, len`` for every window of ``rows(key, text)``. Several lengths
+    serve items shorter than a window."""
+    rows = tokens(rows, key)
+    rows = rows.select(key, "raw", "can", F.transform("can", lambda t: F.xxhash64(_strip(t))).alias("h"), F.exists("can", lambda t: t.contains("<")).alias("has"))
+    # a window of placeholders says nothing of its template: with fewer than two plain tokens it stands for its own words
+    rows = rows.withColumn("s", F.when(F.col("has"), F.transform("can", lambda t: _is_slot(t).cast("int"))))
 
     def of_length(w: int) -> Column:
         n = F.size("h") - (w - 1)
         bare = lambda i: F.col("has") & (sum((F.get("s", i + d) for d in range(w)), F.lit(0)) > max(0, w - 2))
-        code = lambda i: F.when(bare(i), F.xxhash64(F.slice("r", i + 1, w))).otherwise(F.xxhash64(F.slice("h", i + 1, w)))
-        body = lambda i: F.struct(i.alias("pos"), code(i).alias("hash"), slots(i, w).alias("slots"))
+        own = lambda i: F.xxhash64(F.transform(F.slice("raw", i + 1, w), lambda t: F.xxhash64(_strip(F.lower(t)), F.lit(1))))
+        code = lambda i: F.when(bare(i), own(i)).otherwise(F.xxhash64(F.slice("h", i + 1, w)))
+        body = lambda i: F.struct(i.alias("pos"), code(i).alias("hash"), F.lit(w).alias("len"))
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), body))
 
     each = [of_length(w) for w in lengths]
     every = each[0] if len(each) == 1 else F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull()))
-    return rows.select(key, F.size("h").alias("n"), F.explode(every).alias("w")).select(key, "n", "w.hash", "w.pos", "w.slots")
+    return rows.select(key, F.size("h").alias("n"), F.explode(every).alias("w")).select(key, "n", "w.hash", "w.pos", "w.len")
 
 
-def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
-    """Hits only: ``doc_id, item_id, n_item, covered, coverage, consistency, kind,
-    first_word, last_word`` (the matched region in the document's words)."""
-    items = items.select("item_id", "text")
+def slots(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """``key, at, value`` of the words that stand at placeholders."""
+    place = F.posexplode(F.arrays_zip("raw", "can"))
+    found = tokens(rows, key).select(key, place.alias(at, "z")).where(_is_slot(F.col("z.can")))
+    return found.select(key, at, _strip(F.lower("z.raw")).alias(value))
+
+
+def _row(df: DataFrame, *cols: str) -> Column:
+    """A name for a row by its id and text; nulls have a place in it."""
+    return F.xxhash64(*[x for c in cols for x in (F.col(c).isNull(), F.col(c))])
+
+
+def found_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
+    """As :func:`leaks`, with ``rid``, the document row's name."""
+    items = items.select("item_id", "text", _row(items, "item_id", "text").alias("iid")).dropDuplicates(["iid"])
+    docs = docs.select("doc_id", "text", _row(docs, "doc_id", "text").alias("rid"))
     words = F.size(F.split(F.regexp_replace("text", r"\A\s+|\s+\z", ""), r"\s+"))
     short = [r[0] for r in items.where(F.trim("text") != "").select(words.alias("n")).where(f"n < {window}").distinct().collect()]  # at most window - 1 values
     # an item keeps the windows of its own length (short ones) or of the usual one
-    parts = [windows(items, "item_id", [w]).where(F.col("n") == w if w < window else F.col("n") >= w).withColumn("len", F.lit(w)) for w in sorted({*short, window})]
-    bench = parts[0]
-    for p in parts[1:]:
-        bench = bench.unionByName(p)
-    bench = bench.select("item_id", F.col("n").alias("n_item"), F.col("hash").alias("h2"), F.col("pos").alias("at"), F.col("slots").alias("asked"), "len")
+    bench = windows(items, "iid", sorted({*short, window})).where(F.col("len") == F.least("n", F.lit(window)))
+    bench = bench.select("iid", F.col("n").alias("n_item"), F.col("hash").alias("h2"), F.col("pos").alias("at"), F.col("len").alias("len2"))
     if bench.count() <= BROADCAST_WINDOWS:
         bench = F.broadcast(bench)
-    found = windows(docs.select("doc_id", "text"), "doc_id", sorted({*short, window}))
-    hits = found.select("doc_id", "hash", "pos", "slots").join(bench, F.col("hash") == F.col("h2"))
-    hits = hits.select("doc_id", "item_id", "n_item", "pos", "at", "len", "slots", "asked").distinct()
+    found = windows(docs, "rid", sorted({*short, window}))
+    hits = found.join(bench, (F.col("hash") == F.col("h2")) & (F.col("len") == F.col("len2")))
+    # words of the document that stand for words of the item; overlapping windows name them once
+    place = F.explode(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1))
+    hits = hits.select("rid", "iid", "n_item", (F.col("pos") - F.col("at")).alias("offset"), place.alias("p")).distinct()
     # occurrences: all of the document (0), overlapping ranges of offsets (1), one offset (2)
-    offset, step = F.col("pos") - F.col("at"), F.greatest(F.lit(1), F.floor(F.col("n_item") / 4)).cast("int")
-    at = lambda level, place: F.struct(F.lit(level).alias("level"), place.cast("bigint").alias("place"))
-    slot_of = F.floor(offset / step)
-    hits = hits.withColumn("occ", F.explode(F.array(at(0, F.lit(0)), at(1, slot_of), at(1, slot_of - 1), at(2, offset))))
-    key = ["doc_id", "item_id", "n_item", "occ"]
-    covered = hits.select(*key, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1)).alias("p"), F.col("pos").alias("d"), F.col("len")).groupBy(*key).agg(F.count_distinct("p").alias("covered"), F.min("d").alias("first_word"), (F.max(F.col("d") + F.col("len")) - 1).alias("last_word"))
-    pair = F.explode(F.arrays_zip("asked", "slots"))
-    slot = hits.where("asked is not null and slots is not null").select(*key, pair.alias("z")).where("z.asked <> '' and z.slots <> ''")
-    votes = slot.groupBy(*key, F.col("z.asked").alias("a"), F.col("z.slots").alias("s")).count()
-    by_value = votes.groupBy(*key, "a").agg(F.max("count").alias("top"), F.sum("count").alias("all"), F.bool_and(F.col("a") == F.col("s")).alias("same"))
-    agreed = by_value.groupBy(*key).agg((F.sum("top") / F.sum("all")).alias("agree"), F.bool_and("same").alias("same"))
-    c, a = covered.where(F.col("covered") / F.col("n_item") >= coverage).alias("c"), agreed.alias("a")
-    both = c.join(a, F.col("c.doc_id").eqNullSafe(F.col("a.doc_id")) & F.col("c.item_id").eqNullSafe(F.col("a.item_id")) & (F.col("c.n_item") == F.col("a.n_item")) & (F.col("c.occ") == F.col("a.occ")), "left")
-    each = both.select("c.doc_id", "c.item_id", "c.n_item", "c.occ", "covered", F.coalesce("agree", F.lit(1.0)).alias("consistency"), F.coalesce("same", F.lit(True)).alias("same"), "first_word", "last_word").where(F.col("consistency") >= consistency)
+    step = F.greatest(F.lit(1), F.floor(F.col("n_item") / 4)).cast("int")
+    at = lambda level, where: F.struct(F.lit(level).alias("level"), where.cast("bigint").alias("place"))
+    near = F.floor(F.col("offset") / step)
+    hits = hits.withColumn("occ", F.explode(F.array(at(0, F.lit(0)), at(1, near), at(1, near - 1), at(2, F.col("offset")))))
+    hits = hits.withColumn("d", F.col("p") + F.col("offset"))
+    key = ["rid", "iid", "occ"]
+    covered = hits.groupBy(*key, "n_item").agg(F.count_distinct("p").alias("covered"), F.min("d").alias("first_word"), F.max("d").alias("last_word")).where(F.col("covered") / F.col("n_item") >= coverage)
+    covered = stage(covered, "leaks-covered")
+    # slots are only looked up for occurrences that cover their item
+    asked = slots(items, "iid", "p", "a")
+    given = slots(docs.join(covered.select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"]), "rid", "d", "s")
+    pairs = hits.join(covered.select(*key), key, "left_semi").join(asked, ["iid", "p"]).join(given, ["rid", "d"])
+    votes = stage(pairs.groupBy(*key, "a", "s").agg(F.count(F.lit(1)).alias("n")), "leaks-votes")
+    # both ways: a value of the item has one value there, and the other way round
+    ways = [votes.groupBy(*key, x).agg(F.max("n").alias("top"), F.sum("n").alias("all")).groupBy(*key).agg((F.sum("top") / F.sum("all")).alias(f"by_{x}")) for x in ("a", "s")]
+    same = votes.groupBy(*key).agg(F.bool_and(F.col("a") == F.col("s")).alias("same"))
+    agreed = ways[0].join(ways[1], key).join(same, key)
+    each = covered.join(agreed, key, "left").withColumn("consistency", F.coalesce(F.least("by_a", "by_s"), F.lit(1.0))).withColumn("same", F.coalesce("same", F.lit(True))).where(F.col("consistency") >= consistency)
     # the best: verbatim, consistent, covered, close together, early
     best = F.max(F.struct("same", "consistency", "covered", F.col("occ.level").alias("level"), (-F.col("first_word")).alias("early"), "last_word")).alias("o")
-    out = each.groupBy("doc_id", "item_id", "n_item").agg(best)
-    return out.select("doc_id", "item_id", F.col("n_item").cast("bigint").alias("n_item"), F.col("o.covered").cast("bigint").alias("covered"), (F.col("o.covered") / F.col("n_item")).alias("coverage"), F.col("o.consistency").alias("consistency"), F.when(F.col("o.same"), F.lit("verbatim")).otherwise(F.lit("template")).alias("kind"), (-F.col("o.early")).cast("bigint").alias("first_word"), F.col("o.last_word").cast("bigint").alias("last_word"))
+    out = each.groupBy("rid", "iid", "n_item").agg(best)
+    named = docs.select("rid", "doc_id").join(out.select("rid").distinct(), "rid", "left_semi").distinct()
+    out = out.join(named, "rid").join(items.select("iid", "item_id"), "iid")
+    return out.select("rid", "doc_id", "item_id", F.col("n_item").cast("bigint").alias("n_item"), F.col("o.covered").cast("bigint").alias("covered"), (F.col("o.covered") / F.col("n_item")).alias("coverage"), F.col("o.consistency").alias("consistency"), F.when(F.col("o.same"), F.lit("verbatim")).otherwise(F.lit("template")).alias("kind"), (-F.col("o.early")).cast("bigint").alias("first_word"), F.col("o.last_word").cast("bigint").alias("last_word"))
+
+
+def leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """Hits only: ``doc_id, item_id, n_item, covered, coverage, consistency, kind,
+    first_word, last_word`` (the matched region in the document's words)."""
+    return found_leaks(docs, items, **options).drop("rid")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents without a hit; all their columns."""
+    """The document rows without a hit; all their columns."""
     key = fresh(docs, "_wl_id")
-    dirty = leaks(docs, items, **options).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty[key]), "left_anti")
+    dirty = found_leaks(docs, items, **options).select(F.col("rid").alias(key)).distinct()
+    return docs.withColumn(f"{key}_", _row(docs, "doc_id", "text")).join(dirty, F.col(f"{key}_") == F.col(key), "left_anti").drop(f"{key}_")
