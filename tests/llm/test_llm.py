@@ -351,6 +351,24 @@ def test_weighted_fingerprints(docs, plain):
     assert abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.09
 
 
+def test_next_documents_with_odd_ids(spark, monkeypatch):
+    """Outlying, null and repeated ids: blocks stay small and every row has its follower."""
+    monkeypatch.setattr(cws, "BLOCK_ROWS", 50)
+    ids = [*range(400), 1 << 62, -(1 << 61), *[7] * 300, *[None] * 200]
+    rows = [(d, f"text {i}") for i, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = cws.with_next(df).toPandas()
+    assert len(got) == len(rows) and got.groupby("block").size().max() <= 150 and sorted(got.next_text) == sorted(t for _, t in rows)
+    by_text = dict(zip(got.text, got.next_text))
+    at, seen = rows[0][1], []
+    for _ in rows:
+        seen.append(at)
+        at = by_text[at]
+    assert at == rows[0][1] and len(set(seen)) == len(rows)  # one ring
+    order = {t: -(1 << 63) if d is None else d for d, t in rows}
+    assert sum(order[a] < order[by_text[a]] for a in seen) == 1  # descending but for the wrap
+
+
 def test_weighted_edges(spark, odd, empty):
     got = cws.fingerprint_pairs(odd)
     assert got.count() == odd.count()
@@ -623,6 +641,18 @@ def test_sharding(spark, odd, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_half_the_table_is_one_text(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 20)
+    texts = ["same"] * 500 + ["twin"] * 40 + [f"other {i // 2}" for i in range(100)] + [f"one {i}" for i in range(360)]
+    df = spark.createDataFrame([(i if i > 99 else 5, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    got = sharding.shard(df).toPandas()
+    sizes = got.groupby("shard").size()
+    assert sizes.sum() == 1000 and sizes.max() - sizes.min() <= 1
+    assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard").slot)
+    spread = got.groupby("text_crc32").shard.nunique()
+    assert spread[binascii.crc32(b"same")] <= 6 and spread[binascii.crc32(b"twin")] <= 2
+
+
 # ---- 10 token counts ----
 
 

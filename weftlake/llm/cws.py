@@ -9,12 +9,14 @@ sum(min) / sum(max) of the weights (Ioffe's scheme). A fingerprint holds a 32-bi
 code of each sample's (x, t).
 
 Every text is paired with the next document's in descending id order. Rows are cut
-into id ranges of bounded size from a histogram of ids, each range also gets the
-first row of the next, and the pairing is a window inside the range.
+into ranges of about equal size over (id, hash of the text), so neither an outlying id
+nor a repeated or null one makes a large range; each range also gets the first row of
+the next, and the pairing is a window inside the range.
 
 Defined results: a null text counts as empty; a text without words has the
 fingerprint of zeros and is like another such text by 1; rows that repeat an id are
-ordered by the hash of their text; a null id comes last; the only row of a table
+ordered by the hash of their text (rows that repeat both stay in one range); a null id
+comes last; the only row of a table
 follows itself; an empty table gives no rows.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from weftlake.llm.common import parts_for, stage
 
-SAMPLES, BINS, BLOCK_ROWS = 32, 65_536, 1_000
+SAMPLES, BLOCK_ROWS, BLOCKS = 32, 1_000, 16_384  # at 100 TB a block holds some million rows, which the window spills
 MASK21, MASK32 = (1 << 21) - 1, (1 << 32) - 1
 
 
@@ -84,34 +86,45 @@ def as_text(sig: Column, samples: int) -> Column:
     return F.coalesce(F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.lit("0" * 8 * samples))
 
 
+def block_bounds(rows: DataFrame, per_block: int) -> list[tuple]:
+    """Least and greatest (k, th) of ranges of about equal size, in order; rows of one k
+    and th are never cut. At most ``BLOCKS`` come to the driver, whatever the table's size."""
+    total = rows.count()
+    count = min(BLOCKS, parts_for(total, per_block))
+    ends = rows.select("k", "th").repartitionByRange(count, "k", "th").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("k", "th")).alias("lo"), F.max(F.struct("k", "th")).alias("hi"))
+    return sorted((tuple(r["lo"]), tuple(r["hi"])) for r in ends.collect())
+
+
+def _block_of(bounds: list[tuple]) -> Column:
+    """The number of the range that (k, th) falls into, by halving over a constant array."""
+    constant = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    lows = [lo for lo, _ in bounds]
+    ks, hs = constant([k for k, _ in lows]), constant([h for _, h in lows])
+    steps = [1 << i for i in reversed(range(max(1, (len(lows) - 1).bit_length())))]
+
+    def ahead(at: Column, step: Column) -> Column:
+        there = at + step
+        k, h = F.get(ks, there), F.get(hs, there)
+        return F.when((there < len(lows)) & ((k < F.col("k")) | ((k == F.col("k")) & (h <= F.col("th")))), there).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), ahead)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` with ``block, rn`` (a row's name), and the next row's
     ``next_text, nb, nrn`` in descending id order, the last being followed by the first."""
     spark = docs.sparkSession
-    k = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), k.alias("k"))
-    lo, hi, total = rows.agg(F.min(F.col("doc_id").cast("double")), F.max(F.col("doc_id").cast("double")), F.count(F.lit(1))).first()
-    lo, hi = lo or 0.0, hi or 0.0
-    fine = F.when(F.col("doc_id").isNull(), F.lit(BINS)).otherwise(F.lit(BINS - 1) - F.least(F.floor((F.col("doc_id").cast("double") - lo) / F.lit(max(hi - lo, 1.0)) * BINS), F.lit(BINS - 1))).cast("int")
-    rows = rows.withColumn("bin", fine)
-    counts = sorted((r[0], r[1], r[2]) for r in rows.groupBy("bin").agg(F.count(F.lit(1)), F.max("k")).collect())  # at most BINS + 1 rows
-    blocks, heads, block, held = [], [], -1, BLOCK_ROWS
-    for b, n, top in counts:
-        if held + n > BLOCK_ROWS or not heads:
-            block, held = block + 1, 0
-            heads.append((block, top))
-        held += n
-        blocks.append((b, block))
-    names = spark.createDataFrame(blocks or [(0, 0)], "bin int, block int")
-    rows = rows.join(F.broadcast(names), "bin").drop("bin")  # as many rows as bins at most
-    # the first row of each block, given to the block before it as well
-    before = [(top, (b - 1) % len(heads), b) for b, top in heads]
-    first = spark.createDataFrame(before or [(0, 0, 0)], "top bigint, to int, home int")
-    by = Window.partitionBy("home").orderBy(F.xxhash64("text"), "text")
-    extra = rows.join(F.broadcast(first), (F.col("k") == F.col("top")) & (F.col("block") == F.col("home"))).withColumn("n", F.row_number().over(by)).where("n = 1")
-    cols = ["doc_id", "text", "k"]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("th"))
+    bounds = block_bounds(rows, BLOCK_ROWS) or [((0, 0), (0, 0))]
+    rows = rows.withColumn("block", _block_of(bounds))
+    # the greatest row of each block is also given to the block above, whose last row it follows
+    tops = [(hi[0], hi[1], i, (i + 1) % len(bounds)) for i, (_, hi) in enumerate(bounds)]
+    first = spark.createDataFrame(tops, "k bigint, th bigint, home int, to int")
+    extra = rows.drop("block").join(F.broadcast(first), ["k", "th"]).dropDuplicates(["home"])  # at most BLOCKS rows
+    cols = ["doc_id", "text", "k", "th"]
     both = rows.select(*cols, "block", F.col("block").alias("home"), F.lit(0).alias("late")).unionByName(extra.select(*cols, F.col("to").alias("block"), "home", F.lit(1).alias("late")))
-    order = Window.partitionBy("block").orderBy("late", F.desc("k"), F.xxhash64("text"), "text")
+    order = Window.partitionBy("block").orderBy("late", F.desc("k"), F.desc("th"))
     rn = F.row_number().over(order)
     both = both.withColumn("rn", F.when(F.col("late") == 1, F.lit(1)).otherwise(rn))
     ahead = lambda c: F.lead(c).over(order)

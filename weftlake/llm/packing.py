@@ -279,15 +279,15 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, grou
     """Pieces with their place: ``doc_id, piece, start, length, ids_crc32, sequence_id,
     offset`` and, with ``with_ids``, the ids."""
     spark = docs.sparkSession
-    items = stage(pieces(docs, path, capacity, end_id, with_ids), "pack-pieces")
+    items = stage(pieces(docs, path, capacity, end_id, with_ids).withColumn("_wl_uid", F.monotonically_increasing_id()), "pack-pieces")
     hist = {r[0]: r[1] for r in items.groupBy("length").count().collect()}
     plan, _ = make_plan(hist, capacity, groups)
     runs = np.array(sorted(plan) or [(0, 0, 0, 0, 0)], np.int64)
     shared = spark.sparkContext.broadcast((runs[:, 0] << 44 | runs[:, 1], runs))  # bounded by the capacity, see above
     # a common length is ranked by as many tasks as its rows need, at most a bucket for each length besides
     deal = F.element_at(F.split(F.lit(",".join(str(parts_for(hist.get(n, 0), RANKED)) for n in range(1, capacity + 1))), ",").cast("array<int>"), F.col("length").cast("int"))
-    ranked = global_rank(items, ["length"], ["doc_id", "piece", "start"], ["doc_id", "piece", "ids_crc32"], "_wl_rank", deal)
-    names = [c for c in items.columns]
+    ranked = global_rank(items, ["length"], ["_wl_uid"], ["doc_id", "piece", "ids_crc32"], "_wl_rank", deal)
+    names = [c for c in items.columns if c != "_wl_uid"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, table = shared.value
@@ -297,5 +297,5 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, grou
             place = [pa.array(row[:, 3] + rank - row[:, 1], pa.int64()), pa.array(row[:, 4], pa.int64())]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), *place], names=[*names, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id bigint, offset bigint"
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema if f.name in names) + ", sequence_id bigint, offset bigint"
     return ranked.select(*names, F.col("_wl_rank").cast("bigint")).mapInArrow(run, kinds)

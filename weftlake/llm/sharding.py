@@ -14,7 +14,7 @@ as the quota allows; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlake.llm.common import drop_stage, global_rank, parts_for, stage
@@ -82,29 +82,48 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = 8) -> DataFrame
     return linked
 
 
+CELL_ROWS = 1_000
+
+
+def in_groups(linked: DataFrame, buckets: int) -> DataFrame:
+    """``linked`` with ``slot``, the gapless rank within its shard: members of a group stand
+    together, large groups first in their bucket. A group is dealt into cells of about
+    CELL_ROWS rows; the order is made over cells and their counts, so no task holds the
+    rows of a large group."""
+    cell = F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / CELL_ROWS)).cast("int")
+    linked = linked.withColumn("cell", cell)
+    cells = linked.groupBy("shard", "g", "n", "cell").agg(F.count(F.lit(1)).alias("c")).withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy("shard", "bucket").orderBy(F.desc("n"), "g", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("inside", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    above = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.groupBy("shard", "bucket").agg(F.sum("c").alias("t")).select("shard", "bucket", F.coalesce(F.sum("t").over(above), F.lit(0)).alias("outside"))
+    cells = cells.join(starts, ["shard", "bucket"]).select("shard", "g", "cell", (F.col("inside") + F.col("outside")).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("shard", "g", "cell").orderBy("doc_id", "uid")) - 1
+    return linked.withColumn("rank", rank).join(cells, ["shard", "g", "cell"]).withColumn("slot", F.col("rank") + F.col("start")).drop("cell", "rank", "start")
+
+
 def shard(docs: DataFrame, shards: int = 8, rounds: int = 8) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.octet_length(text), F.crc32(text.cast("binary"))).alias("g"))
-    rows = stage(rows, "shard-rows")
+    rows = stage(rows.withColumn("uid", F.monotonically_increasing_id()), "shard-rows")
     total = rows.count()
     quota, buckets = quotas(total, shards), parts_for(total)
     # written first, so that Spark may split a large group's rows over many join tasks
     sizes = stage(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shard-sizes")
     rows = stage(rows.join(sizes, "g", "left").withColumn("n", F.coalesce("n", F.lit(1))), "shard-grouped")
-    spread = ["doc_id", "g", "size"]
     linked = rows.where("n > 1").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int"))
     linked = propagate(stage(linked, "shard-start"), quota, rounds)
-    # members of a group stand together, large groups first, so that a quota cuts as few of them as can be
-    placed = stage(global_rank(linked, ["shard"], ["g"], [F.desc("n"), "g", "doc_id"], "slot", buckets), "shard-placed") if total else linked.withColumn("slot", F.lit(0))
+    # groups stand together, so that a quota cuts as few of them as can be
+    placed = stage(in_groups(linked, buckets), "shard-placed")
     limit = F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("shard") + 1)
     kept = placed.where(F.col("slot") < limit)
     held = [0] * shards
     for r in kept.groupBy("shard").count().collect():
         held[r[0]] = r[1]
-    cols = ["doc_id", "size", "text_crc32", "g", "n"]
+    cols = ["doc_id", "size", "text_crc32", "g", "n", "uid"]
     pool = rows.where("n = 1").select(*cols).unionByName(placed.where(F.col("slot") >= limit).select(*cols))
-    pool = global_rank(pool, [], spread, ["n", "g", "doc_id"], "_wl_pool", buckets)
+    pool = global_rank(pool, [], ["uid"], ["n", "g", "doc_id"], "_wl_pool", buckets)
     to, start, first = F.lit(None).cast("int"), F.lit(None).cast("bigint"), 0
     for s in range(shards):
         free = quota[s] - held[s]
