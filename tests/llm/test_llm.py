@@ -346,7 +346,38 @@ def test_simhash_against_brute_force(docs, plain):
     assert got == {d: (fp[d], root(d)) for d in fp}
 
 
-def test_links_against_all_pairs(spark):
+def test_near_copies_go_and_others_stay(spark):
+    """Copies with a Jaccard similarity of 0.8 or more are caught, unlike texts are kept."""
+    r = random.Random(41)
+    rows, near, caught = [], 0, []
+    jaccard = lambda x, y: len(x & y) / len(x | y)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for k in range(400):
+        w = passage(30_000 + k, r.randrange(60, 500)).split()
+        v = list(w)
+        for _ in range(r.randrange(1, 2 + len(w) // 40)):
+            v[r.randrange(len(v))] = f"edit{r.randrange(10**6)}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        caught.append(jaccard(shingles(w), shingles(v)))
+    rows += [(10_000 + k, passage(40_000 + k, 100)) for k in range(300)]
+    rows += [(20_000 + k, passage(50_000, 100) + f" tail{k} and{k} more{k}") for k in range(100)]
+    kept = {x["doc_id"] for x in simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = [2 * k + 1 not in kept for k, j in enumerate(caught) if j >= 0.8]
+    assert len(found) > 100 and sum(found) >= 0.9 * len(found)
+    assert all(2 * k in kept for k in range(400)) and all(10_000 + k in kept for k in range(300))
+    assert not any(2 * k + 1 not in kept for k, j in enumerate(caught) if j < 0.6)
+    assert {d for d in kept if d >= 20_000} == {20_000}
+
+
+def test_schemes_cover_the_radius():
+    for scheme in simhash.SCHEMES:
+        assert sum(r + 1 for _, _, r in scheme) > 4 and sum(n for _, n, _ in scheme) == 64
+    assert [simhash.scheme_for(n) for n in (10**4, 10**7, 10**11)] == list(simhash.SCHEMES)
+    assert len(simhash.ball(32, 2)) == 1 + 32 + 32 * 31 // 2
+
+
+@pytest.mark.parametrize("scheme", simhash.SCHEMES)
+def test_links_against_all_pairs(spark, scheme):
     r = random.Random(3)
     fps = set()
     for _ in range(60):
@@ -356,7 +387,7 @@ def test_links_against_all_pairs(spark):
             for _ in range(r.randrange(1, 6)):
                 x ^= 1 << r.randrange(64)
     signed = lambda x: x - 2**64 if x >> 63 else x
-    got = {row["fp"]: row["root"] for row in simhash.link(spark.createDataFrame([(signed(x),) for x in fps], "fp bigint")).collect()}
+    got = {row["fp"]: row["root"] for row in simhash.link(spark.createDataFrame([(signed(x),) for x in fps], "fp bigint"), scheme=scheme).collect()}
     for a in fps:
         for b in fps:
             if (a ^ b).bit_count() <= 4:
@@ -734,7 +765,7 @@ def test_pipeline(spark, sf, docs, plain):
         kept = spark.createDataFrame(step(spark, kept, sf).toPandas(), docs.schema)
         assert kept.columns == docs.columns
         seen.append(kept.count())
-    assert seen[1] == len(plain) and seen[2] == len({r["component_id"] for r in simhash.near_duplicates(docs).collect()})
+    assert seen[1] == len(plain) and seen[2] == len({r["component_id"] for r in simhash.wide_near_duplicates(docs).collect()})
     left = kept.toPandas()
     assert not brute_repeats(list(zip(left.doc_id, left.text)))[0]
     assert decontam.leaks(kept, spark.read.parquet(f"{sf}/benchmark.parquet")).count() == 0

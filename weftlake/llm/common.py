@@ -31,9 +31,11 @@ def bound_batches(spark: SparkSession, rows: int = 512, mb: int = 16) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-    Only where it is unset (tests on one machine) a temporary one is made."""
+    Only where it is unset in local mode (tests on one machine) a temporary one is made."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weftlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -100,8 +102,9 @@ def global_rank(df: DataFrame, keys: list[str], spread: list[Column | str], orde
 def components(edges: DataFrame, label: str = "cc", max_rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a, b)`` (bigint): rows ``(node, root)``, the
     root being the smallest node reachable. Alternates large-star and small-star
-    contraction; a round's table is written to the shared folder, and rounds end
-    when the edge set no longer changes."""
+    contraction; a round's tables are written to the shared folder, and rounds end
+    when the edge set no longer changes. What is joined on a node is a table of its own
+    on both sides, so that Spark may split a node with very many edges over tasks."""
     e = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), label)
     seen = None
     for _ in range(max_rounds):
@@ -110,12 +113,13 @@ def components(edges: DataFrame, label: str = "cc", max_rounds: int = 40) -> Dat
             break
         seen = sign
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-        up = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{label}-least")
+        large = stage(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct(), f"{label}-large")
+        up = stage(large.groupBy("b").agg(F.min("a").alias("m")), f"{label}-up")
         small = large.join(up, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionAll(up.select(F.col("m").alias("a"), "b")).distinct()
         old, e = e, stage(small, label)
-        drop_stage(old)
+        for df in (old, least, large, up):
+            drop_stage(df)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     leaves = e.select(F.col("b").alias("node"), F.col("a").alias("root"))
