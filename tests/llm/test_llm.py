@@ -308,6 +308,12 @@ def test_language_edges(spark, odd, empty):
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
 
 
+def test_sample_is_bounded_whatever_the_ids(spark):
+    rows = [(None if i % 2 else 7, f"text {i}", "en" if i < 900 else "fr") for i in range(1000)] + [(9, "same", "en")] * 500
+    got = langid.training_sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5), 20)
+    assert set(got) == {"en", "fr"} and all(0 < len(v) <= 20 for v in got.values())
+
+
 def test_blocks_do_not_change_results(monkeypatch):
     model = langid.ByteGru(["a", "b", "c"])
     texts = [passage(i, n) for i, n in enumerate((1, 5, 400, 60))]

@@ -2,7 +2,8 @@
 
 The network is trained in numpy by backpropagation through time on a bounded,
 hash-ordered sample of labelled rows. It labels every byte position of the whole
-text; the document's probabilities are the mean of those of its positions.
+text, in chunks of ``STEPS`` bytes whose states start anew; the document's
+probabilities are the mean of those of its positions.
 
 Defined results: null text or text without a letter gives ``und`` with score 0;
 rows with a null id count as not held out; repeated rows get equal answers; an
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlake.llm.common import bound_batches
@@ -30,26 +31,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_lang: int = 300, excerpt: int = 1500) -> dict[str, list[str]]:
-    """At most ``per_lang`` excerpts of ``excerpt`` characters for each language,
-    from rows that aren't held out. Rows are taken in the order of a hash of their
-    id, an excerpt starts at a place given by that hash: the sample's size does not
-    grow with the table."""
+def training_sample(docs: DataFrame, per_lang: int = 300) -> dict[str, list[str]]:
+    """At most ``per_lang`` whole texts for each language, from rows that aren't held out,
+    in the order of a hash of id and text: the number of rows does not grow with the table,
+    whatever ids repeat."""
     fit = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r[0]: r[1] for r in fit.groupBy("lang").count().collect()}
     if not counts:
         return {}
-    h = F.xxhash64(F.col("doc_id"), F.lit("langid"))
-    unit = F.pmod(h, F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * per_lang / n))).otherwise(share)
-    start = F.pmod(F.shiftright(h, 17), F.greatest(F.length("text") - excerpt, F.lit(0)).cast("bigint") + 1).cast("int") + 1
-    rows = fit.where(unit < share).select("lang", unit.alias("u"), F.col("text").substr(start, F.lit(excerpt)).alias("x")).collect()
+    # each task keeps per_lang rows of a language at most before anything is shuffled
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("u", "x"))
+    rows = fit.where(unit < share).select("lang", unit.alias("u"), F.col("text").alias("x")).withColumn("n", first).where(F.col("n") <= per_lang).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.u, r.x)):
-        if len(own := out.setdefault(r.lang, [])) < per_lang:
-            own.append(r.x)
+        out.setdefault(r.lang, []).append(r.x)
     return out
 
 
