@@ -211,3 +211,63 @@ def test_fetch_assets(spark):
     refs = spark.createDataFrame([("https://e.org/a.css", "css", 0), ("https://e.org/a.css", "img", 1), ("https://e.org/none", "js", 2)], "url string, type string, ord int")
     got = {r["url"]: (r["type"], r["local_path"]) for r in readers.fetch_assets(refs, lambda u: (200, b"x") if "css" in u else (500, b""), hosts=1, delay=0.0).collect()}
     assert got["https://e.org/none"] == ("js", None) and got["https://e.org/a.css"][0] == "css" and got["https://e.org/a.css"][1].startswith("assets/css/a-2d711642")
+
+
+def test_robots_are_asked_first(spark):
+    def get(url):
+        return (200, b"User-agent: *\nDisallow: /no") if url == "https://e.org/robots.txt" else (404, b"") if url.endswith("robots.txt") else (200, b"x")
+
+    asked = spark.createDataFrame([("https://e.org/no/a", "css"), ("https://e.org/a", "css"), ("https://f.org/no/a", "css"), ("no url", "css")], "url string, type string")
+    kept = {"https://e.org/a", "https://f.org/no/a", "no url"}
+    assert {r["url"] for r in readers.fetch_pages(asked, get, hosts=2, delay=0.0).collect()} == kept
+    assert {r["url"] for r in readers.fetch_assets(asked, get, hosts=2, delay=0.0).collect()} == kept
+    assert readers.fetch_pages(asked, get, robots=False, hosts=2, delay=0.0).count() == 4
+
+
+def test_output_listing(spark, tmp_path):
+    for name in ("pages/index.html", "pages/b/index.html", "pages/a b/index.html", "pages/b/x.html", "assets/index.html"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert [r["path"] for r in readers.read_output(spark, str(tmp_path)).collect()] == ["/", "/a b/", "/b/"]
+    assert readers.read_output(spark, str(tmp_path / "none")).count() == 0
+    assert [tuple(r) for r in readers.listed(spark, ["u", "v", "u"]).collect()] == [(0, "u"), (1, "v")]
+    assert readers.listed(spark, []).count() == 0
+
+
+def test_manifest(spark):
+    import json
+
+    keyed = spark.createDataFrame([(i, f"u{i}", "en", "x" if i % 5 else "y") for i in range(50)], "page_id int, url string, lang string, skeleton string")
+    found = clusters.cluster_pages(keyed, "page_id", "url", "lang", "skeleton")
+    made = spark.createDataFrame([("cluster-0", "<p>{{a}}", ["a"], None)], "cluster_id string, template string, slots array<string>, error string")
+    members = clusters.cluster_members(keyed, found, "url", "lang", "skeleton")
+    rows = [(r["part"], json.loads(r["json"])) for r in plan.manifest_json(found, made, members, per_row=10).collect()]
+    heads = {j["cluster_id"]: j for part, j in rows if part == 0}
+    assert heads["cluster-0"]["template"] == "<p>{{a}}" and heads["cluster-0"]["page_count"] == 10 and "template" not in heads["cluster-1"]
+    pages = [(j["cluster_id"], u) for part, j in rows if part for u in j["pages"]]
+    assert sorted(pages) == sorted((f"cluster-{int(i % 5 > 0)}", f"u{i}") for i in range(50))
+    assert len([1 for part, j in rows if part and j["cluster_id"] == "cluster-1"]) > 1
+
+
+def test_commands(spark, tmp_path, capsys):
+    from weftlake.plans import commands
+
+    env = str(tmp_path / "env")
+    site = {"https://e.org": (200, b"<p>a"), "https://e.org/sitemap.xml": (200, b"<urlset/>")}
+    get = lambda u: site.get(u, (404, b""))
+    assert commands.probe("https://e.org/", get) == "https://e.org/sitemap.xml"
+    assert commands.init(spark, "https://e.org", get, lambda t: t, {"WEFTLAKE_MODE": "local"}, env) == 0 and (tmp_path / "env").read_text() == "WEFTLAKE_MODE=local\n"
+    assert commands.init(spark, "https://f.org", get, lambda t: t, {}, env) == 1 and "no sitemap" in capsys.readouterr().err
+
+    pages = spark.createDataFrame([("a/index.html", "<p>x"), ("b/index.html", "<p>boom")], "page string, html string")
+    none, kept = spark.createDataFrame([], "page string"), []
+
+    def call(segments):
+        if "boom" in segments:
+            raise RuntimeError("no")
+        return [s.upper() for s in segments]
+
+    assert commands.refine(pages, none, call, lambda df: kept.append(df.count())) == 1 and kept == [2]
+    assert commands.refine(pages.limit(1), none, call, lambda df: None) == 0
+    shot = lambda n: spark.createDataFrame([("/", 1, 1, bytearray([n, n, n, 255]))], "path string, width int, height int, rgba binary")
+    assert commands.diff(shot(0), shot(0)) == 0 and commands.diff(shot(0), shot(255)) == 1

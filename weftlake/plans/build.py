@@ -18,6 +18,9 @@ from weftlake.operators import assets, clusters, crawl, effects, reports, templa
 from weftlake.operators import pages as on_pages
 
 
+MEMBERS = 10_000  # pages in a row of the manifest
+
+
 @dataclass
 class Options:
     only: list[str] = field(default_factory=list)
@@ -55,7 +58,7 @@ def reuse_templates(keyed: DataFrame, library: DataFrame, threshold: float = clu
 
 
 def build(pages: DataFrame, manifest: DataFrame, generate: Callable[[str], str], built: DataFrame | None = None, sheets: DataFrame | None = None, variants: DataFrame | None = None, options: Options | None = None) -> dict[str, DataFrame]:
-    """``pages``, ``clusters``, ``templates``, ``assets``, ``sitemap`` and ``savings``."""
+    """``pages``, ``clusters``, ``templates``, ``manifest``, ``assets``, ``sitemap`` and ``savings``."""
     options = options or Options()
     rows = todo(pages, None if options.reprocess else built, options)
     refs = on_pages.discover(rows)
@@ -67,7 +70,8 @@ def build(pages: DataFrame, manifest: DataFrame, generate: Callable[[str], str],
     found = clusters.cluster_pages(keyed, "page_id", "url", "lang", "skeleton")
     made = templates.synthesize(found, local, generate)
     placed = templates.slot_selectors(made, found, local)
-    filled = templates.fill(local, clusters.cluster_members(keyed, found, "url", "lang", "skeleton"), placed)
+    members = clusters.cluster_members(keyed, found, "url", "lang", "skeleton")
+    filled = templates.fill(local, members, placed)
     if variants is not None:
         filled = on_pages.to_pictures(filled, variants)
     cleaned = filled.withColumn("before", F.col("html")).withColumn("html", on_pages.clean_all("html"))
@@ -77,7 +81,7 @@ def build(pages: DataFrame, manifest: DataFrame, generate: Callable[[str], str],
     done = done.withColumn("html", on_pages.swap_inline_fonts(on_pages.defer_scripts("html", options.script_blocklist, options.script_strategy)))
     done = done.withColumn("local_path", urls.local_path("url"))
     files = done.select(F.col("local_path").alias("path"), F.current_timestamp().alias("mtime"))
-    return {"pages": done.drop("before"), "clusters": found, "templates": made, "assets": used, "sitemap": reports.sitemap_xml(files, "path", "mtime", options.base_url), "savings": reports.savings(done, "before", "html")}
+    return {"pages": done.drop("before"), "clusters": found, "templates": made, "manifest": manifest_json(found, made, members), "assets": used, "sitemap": reports.sitemap_xml(files, "path", "mtime", options.base_url), "savings": reports.savings(done, "before", "html")}
 
 
 def preview(pages: DataFrame, generate: Callable[[str], str], chars: int = 4000) -> str:
@@ -93,9 +97,13 @@ def diff(originals: DataFrame, local: DataFrame, samples: int = 20, threshold: f
     return entries, reports.verdict(entries, "ratio", threshold)
 
 
-def manifest_json(found: DataFrame, templates_made: DataFrame) -> DataFrame:
-    """One JSON row a cluster, with its template: the manifest as a table of documents."""
-    rows = found.join(templates_made.select("cluster_id", "template", "slots"), "cluster_id", "left")
-    return rows.select(F.to_json(F.struct("cluster_id", "fingerprint", "language_prefix", "first_page", "page_count", "slots", F.current_timestamp().alias("generated_at"))).alias("json"))
-
-
+def manifest_json(found: DataFrame, made: DataFrame, members: DataFrame, per_row: int = MEMBERS) -> DataFrame:
+    """``cluster_id, part, json``: the manifest as JSON documents. Part 0 of a cluster holds
+    what is known of it and its template; its pages follow in parts of about ``per_row``,
+    dealt by a hash and sorted inside, so that no cluster has to fit one row."""
+    rows = found.join(made.select("cluster_id", "template", "slots", "error"), "cluster_id", "left")
+    heads = rows.select("cluster_id", F.lit(0).cast("bigint").alias("part"), F.to_json(F.struct("cluster_id", "fingerprint", "language_prefix", "first_page", "page_count", "template", "slots", "error", F.current_timestamp().alias("generated_at"))).alias("json"))
+    dealt = members.join(found.select("cluster_id", "page_count"), "cluster_id")
+    parts = F.ceil(F.col("page_count") / F.lit(per_row)).cast("bigint")
+    pages = dealt.groupBy("cluster_id", (F.pmod(F.xxhash64("page"), parts) + 1).alias("part")).agg(F.array_sort(F.collect_list("page")).alias("pages"))
+    return heads.unionByName(pages.select("cluster_id", "part", F.to_json(F.struct("cluster_id", "part", "pages")).alias("json")))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlake.functions import urls
+from weftlake.operators import crawl
 
 Fetch = Callable[[str], tuple[int, bytes]]
 
@@ -29,6 +30,20 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     return rows.select("path", F.col("content").alias("bytes"), F.col("modificationTime").alias("mtime"))
 
 
+def read_output(spark: SparkSession, folder: str) -> DataFrame:
+    """``path`` of the pages built below ``folder``: the URL paths of its files under
+    ``pages/`` that end in ``index.html``, in order. Contents are not read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    files = read_files(spark, folder.rstrip("/") + "/pages", "*index.html")
+    return files.select(urls.page_url_path(F.substring("path", len(root) + 2, 1 << 30)).alias("path")).orderBy("path")
+
+
+def listed(spark: SparkSession, addresses: list[str]) -> DataFrame:
+    """``page_id, url`` of addresses given by hand instead of a sitemap, repeated ones once."""
+    return spark.createDataFrame(list(enumerate(dict.fromkeys(addresses))), "page_id bigint, url string")
+
+
 def fetch(requests: DataFrame, get: Fetch, url: str = "url", hosts: int = 64, delay: float = 0.2, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> DataFrame:
     """``url, status, body, error``: each distinct address once, failures as rows. All
     addresses of a host are in one partition, which waits ``delay`` seconds between two
@@ -61,9 +76,23 @@ def fetch_robots(requests: DataFrame, get: Fetch, url: str = "url", **options) -
     return asked.join(fetch(asked, get, **options), "url").select("host", F.col("body").cast("string").alias("txt"))
 
 
-def fetch_assets(refs: DataFrame, get: Fetch, **options) -> DataFrame:
+def permitted(requests: DataFrame, get: Fetch, url: str = "url", agent: str = "*", **options) -> DataFrame:
+    """The requests that the robots files of their hosts, fetched first, allow; hosts
+    without such a file and addresses that don't parse are kept."""
+    rules = crawl.parse_robots(fetch_robots(requests, get, url, **options), "host", "txt", agent)
+    return crawl.allowed(requests, rules, url)
+
+
+def fetch_pages(requests: DataFrame, get: Fetch, url: str = "url", robots: bool = True, agent: str = "*", **options) -> DataFrame:
+    """:func:`fetch` of what robots files allow; of everything without ``robots``."""
+    return fetch(permitted(requests, get, url, agent, **options) if robots else requests, get, url, **options)
+
+
+def fetch_assets(refs: DataFrame, get: Fetch, robots: bool = True, agent: str = "*", **options) -> DataFrame:
     """``url, type, local_path, body, error``: each address once, under a name that holds
-    the hash of its content, below ``assets/<type>/``."""
+    the hash of its content, below ``assets/<type>/``. Those that robots files forbid are
+    not fetched and have no row."""
+    refs = permitted(refs, get, "url", agent, **options) if robots else refs
     todo = refs.groupBy("url").agg(F.min("type").alias("type")) if "ord" not in refs.columns else refs.groupBy("url").agg(F.min_by("type", "ord").alias("type"))
     got = fetch(todo, get, **options).join(todo, "url")
     name = F.concat(F.lit("assets/"), "type", F.lit("/"), urls.hashed_name("url", "type", "body"))
