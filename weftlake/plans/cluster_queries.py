@@ -40,8 +40,8 @@ def cluster_ids(spark, sf_dir):
     return clusters.cluster_members(rows, clusters.cluster_pages(rows, "page_id", "url", "lang", "seq"), "url", "lang", "seq")
 
 
-# Structures that differ: tags are dropped from the end or put behind it by page_id.
-_VARIED = f"""(case page_id % 7 when 0 then [] when 1 then {_TAGS}[1:6] when 2 then {_TAGS}[1:9] || ['x','y'] when 3 then {_TAGS} || ['aside','form','x'] when 4 then {_TAGS}[4:10] when 5 then ['q'] else {_TAGS} end)"""
+# Pages of one kind hardly differ, so whole structures are turned, extended, sorted or renamed by page_id.
+_VARIED = f"""(case page_id % 7 when 0 then [] when 1 then list_reverse({_TAGS}) when 2 then {_TAGS} || ['x','y'] when 3 then {_TAGS} || ['aside','form','x'] when 4 then list_sort({_TAGS}) when 5 then list_transform({_TAGS}, lambda t: t || page_id) else {_TAGS} end)"""
 _GRAMS = "list_sort(list_distinct(list_transform(range(1, len(v)), lambda i: v[i] || '>' || v[i + 1])))"
 
 
@@ -49,7 +49,8 @@ def _varied(spark, sf_dir):
     t = markup.tag_sequence("html")
     arr = lambda *x: F.array(*map(F.lit, x))
     k = F.col("page_id") % 7
-    v = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.slice(t, 1, 6)).when(k == 2, F.concat(F.slice(t, 1, 9), arr("x", "y"))).when(k == 3, F.concat(t, arr("aside", "form", "x"))).when(k == 4, F.slice(t, 4, 7)).when(k == 5, arr("q")).otherwise(t)
+    renamed = F.transform(t, lambda x: F.concat(x, F.col("page_id").cast("string")))
+    v = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.reverse(t)).when(k == 2, F.concat(t, arr("x", "y"))).when(k == 3, F.concat(t, arr("aside", "form", "x"))).when(k == 4, F.array_sort(t)).when(k == 5, renamed).otherwise(t)
     return pages(spark, sf_dir).select("page_id", v.alias("v")).select("page_id", F.array_join("v", "|").alias("seq"), markup.bigrams("v").alias("grams"))
 
 
@@ -64,16 +65,18 @@ def jaccard_pairs(spark, sf_dir):
 
 
 _FIT = f"""with r as (select page_id, {_VARIED} as v from pages), g as (select page_id, array_to_string(v, '|') as seq, {_GRAMS} as grams from r),
+lib as (select seq, any_value(grams) as grams, min(page_id) as page_id from g group by seq having count(*) > 1),
 s as (select p.page_id, c.page_id as cluster, case when len(p.grams) = 0 and len(c.grams) = 0 then case when p.seq = c.seq then 1.0 else 0.0 end when len(p.grams) = 0 or len(c.grams) = 0 then 0.0
- else len(list_intersect(p.grams, c.grams))::double / len(list_distinct(p.grams || c.grams)) end::double as score from g p, g c where p.page_id % 10 <> 0 and c.page_id % 10 = 0),
+ else len(list_intersect(p.grams, c.grams))::double / len(list_distinct(p.grams || c.grams)) end::double as score from g p, lib c),
 b as (select page_id, cluster, score, row_number() over (partition by page_id order by score desc, cluster) as rn from s)"""
 
 
 @query(_FIT + " select page_id, cluster, score, score >= 0.7 as fitted from b where rn = 1")
 def best_cluster_fit(spark, sf_dir):
+    """Every page against the structures that several pages share, named by their first page."""
     g = _varied(spark, sf_dir)
-    lib = g.where("page_id % 10 = 0").withColumnRenamed("page_id", "cid").withColumn("ord", F.col("cid"))
-    return clusters.best_fit(g.where("page_id % 10 <> 0"), lib, "page_id", "cid", "ord", "grams", "seq")
+    lib = g.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("cid"), F.first("grams").alias("grams")).where("n > 1").withColumn("ord", F.col("cid"))
+    return clusters.best_fit(g, lib, "page_id", "cid", "ord", "grams", "seq")
 
 
 @query(_FIT + " select page_id, score from b where rn = 1 and score < 0.7")

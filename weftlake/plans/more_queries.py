@@ -25,10 +25,11 @@ def divergent_structure(spark, sf_dir):
     return best_cluster_fit(spark, sf_dir).where(~F.col("fitted")).join(own, "page_id").select("page_id", "score", "fingerprint")
 
 
-@query(f"with c as ({_CLUSTERS} from g) select cluster_id, page_count from c union all select 'divergent-' || page_id, 1 from pages where page_id % 40 = 0")
+@query(f"select cluster_id, page_count from ({_CLUSTERS} from g) union all select 'divergent-' || page_id, 1 from ({_FIT} select page_id from b where rn = 1 and score < 0.7)")
 def cluster_union(spark, sf_dir):
+    """Clusters, and a cluster of its own for each page that fits none."""
     found = clusters.cluster_pages(_sequences(spark, sf_dir), "page_id", "url", "lang", "seq").select("cluster_id", "page_count")
-    extra = pages(spark, sf_dir).where("page_id % 40 = 0").select(F.concat(F.lit("divergent-"), F.col("page_id").cast("string")).alias("cluster_id"), F.lit(1).cast("bigint").alias("page_count"))
+    extra = best_cluster_fit(spark, sf_dir).where(~F.col("fitted")).select(F.concat(F.lit("divergent-"), F.col("page_id").cast("string")).alias("cluster_id"), F.lit(1).cast("bigint").alias("page_count"))
     return found.unionByName(extra)
 
 
