@@ -95,6 +95,38 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlake.llm.filters import audit
+
+    return audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+#: Masks of failed filters for each document, counted for each part, summed up for each order.
+OP11_SQL = """
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from d),
+f as (select doc_id, part, (case when len(words) < 50 then 1 else 0 end) + (case when 100 * len(list_distinct(words)) < 65 * len(words) then 2 else 0 end)
+    + (case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) then 4 else 0 end)
+    + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end) + (case when min(doc_id) over (partition by t) < doc_id then 16 else 0 end) as m from w),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+c as (select part, m, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from f left join l using (doc_id) group by part, m),
+s as (select x.l as a, y.l as b, z.l as c, v.l as d, u.l as e, x.l || y.l || z.l || v.l || u.l as filter_order
+  from (values ('A'), ('B'), ('C'), ('D'), ('E')) x(l), (values ('A'), ('B'), ('C'), ('D'), ('E')) y(l), (values ('A'), ('B'), ('C'), ('D'), ('E')) z(l),
+    (values ('A'), ('B'), ('C'), ('D'), ('E')) v(l), (values ('A'), ('B'), ('C'), ('D'), ('E')) u(l)
+  where x.l <> y.l and z.l not in (x.l, y.l) and v.l not in (x.l, y.l, z.l) and u.l not in (x.l, y.l, z.l, v.l)),
+o as (select filter_order, step, (1 << (ascii(filter_order[step]) - 65)) as own,
+    coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::int as prior from s, (select unnest(range(1, 6)) as step))
+select part, filter_order, step::int as step,
+  coalesce(sum(n) filter (where m & (own | prior) = 0), 0)::bigint as kept,
+  coalesce(sum(n) filter (where m & own <> 0 and m & prior = 0), 0)::bigint as removed,
+  coalesce(sum(n) filter (where m & own <> 0 and m & prior <> 0), 0)::bigint as redundant,
+  coalesce(sum(n) filter (where m = own), 0)::bigint as unique_fails,
+  coalesce(sum(good) filter (where m & own <> 0 and m & prior = 0), 0)::bigint as good_lost,
+  coalesce(sum(toxic) filter (where m & own <> 0 and m & prior = 0), 0)::bigint as toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(m::int), 1)) filter (where m & own <> 0), 0)::bigint as shapley
+from c, o group by part, filter_order, step"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -107,8 +139,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_repeats": OP3_SQL}
+    return {"op3_suffix_repeats": OP3_SQL, "op11_filter_audit": OP11_SQL}
