@@ -127,6 +127,12 @@ select part, filter_order, step::int as step,
 from c, o group by part, filter_order, step"""
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlake.llm.repair import round_trip
+
+    return round_trip(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -140,6 +146,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
         "op11_filter_audit": op11_filter_audit,
+        "op13_token_files": op13_token_files,
     }
 
 
