@@ -34,17 +34,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlake.llm.common import bound_batches, global_rank, parts_for, stage
+from weftlake.llm.wordids import byte_signs
 
 RANKED = 1_000  # rows of one length that one task ranks, about
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+def plain_encoder(path: str):
+    """Text -> list of ids by tiktoken, built from that very file, where it is a plain
+    byte-level vocabulary; special tokens' strings are plain text. None otherwise."""
+    import json
+
+    with open(path) as f:
+        spec = json.load(f)
+    pre = spec.get("pre_tokenizer") or {}
+    if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space") or spec.get("normalizer"):
+        return None
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    byte_of = byte_signs()
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
+    # the byte-level splitting rule of the library, a fixed value
+    rule = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("same-vocabulary", pat_str=rule, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str):
     """Text -> unsigned 32-bit ids. The tokenizers library decides; where its file is
-    a plain byte-level vocabulary, the same merges are run by tiktoken (built from
-    that very file), several times as fast. Texts that hold a special token's string
-    go to the tokenizers library itself."""
+    a plain byte-level vocabulary, the same merges are run by tiktoken, several times as
+    fast. Texts that hold a special token's string go to the tokenizers library itself."""
     import json
 
     from tokenizers import Tokenizer
@@ -53,30 +75,16 @@ def _encoder(path: str):
     tok.no_truncation()
     tok.no_padding()
     slow = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4")
-    with open(path) as f:
-        spec = json.load(f)
-    pre = spec.get("pre_tokenizer") or {}
-    plain = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
-    try:
-        import tiktoken
-    except ImportError:
-        plain = False
-    if not plain:
+    quick = plain_encoder(path)
+    if not quick:
         return slow
-    # byte-level files write each byte as one printable character
-    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in kept]
-    byte_of = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(other)}
-    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(byte_of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-    # the byte-level splitting rule of the library, a fixed value
-    rule = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    enc = tiktoken.Encoding("same-vocabulary", pat_str=rule, mergeable_ranks=ranks, special_tokens={})
+    with open(path) as f:
+        special = [t["content"] for t in json.load(f).get("added_tokens", [])]
 
     def fast(text: str) -> np.ndarray:
         if any(s in text for s in special):
             return slow(text)
-        return np.array(enc.encode_ordinary(text), "<u4")
+        return np.array(quick(text), "<u4")
 
     return fast
 

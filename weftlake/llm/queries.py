@@ -127,6 +127,12 @@ select part, filter_order, step::int as step,
 from c, o group by part, filter_order, step"""
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlake.llm.align import alignments
+
+    return alignments(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftlake.llm.repair import round_trip
 
@@ -146,6 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
         "op11_filter_audit": op11_filter_audit,
+        "op12_token_alignment": op12_token_alignment,
         "op13_token_files": op13_token_files,
     }
 
