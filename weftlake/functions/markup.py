@@ -49,9 +49,8 @@ def tag_sequence(html: C) -> Column:
 def bigrams(items: C) -> Column:
     """Distinct neighbouring pairs of an array."""
     a = _col(items)
-    n = F.size(a)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(">", F.element_at(a, i), F.element_at(a, i + 1)))
-    return F.when(n > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    rest = F.greatest(F.size(a) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(a, F.lit(1), rest), F.slice(a, F.lit(2), rest), lambda x, y: F.concat_ws(">", x, y)))
 
 
 def jaccard(a: C, b: C, equal: Column | None = None) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlake.functions import markup, urls
+from weftlake.staging import number
 
 URLSET = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'
 
@@ -17,19 +18,14 @@ def sitemap_rows(files: DataFrame, path: str, mtime: str, base: str) -> DataFram
 
 
 def sitemap_xml(files: DataFrame, path: str, mtime: str, base: str, per_file: int = 50_000) -> DataFrame:
-    """``part, n_urls, xml``: a urlset for each ``per_file`` addresses in order, so that no
-    string grows with the site (50,000 is the format's own limit). No file, one empty urlset."""
-    rows = sitemap_rows(files, path, mtime, base)
-    total = rows.count()
-    # addresses are cut into ranges at quantiles of their order, one for each file
-    parts = -(-total // per_file) if total else 1
-    if parts > 1:
-        rows = rows.repartitionByRange(parts, "loc").withColumn("part", F.spark_partition_id().cast("bigint"))
-    else:
-        rows = rows.withColumn("part", F.lit(0).cast("bigint"))
+    """``part, n_urls, xml``: a urlset for each ``per_file`` addresses in order (50,000, the
+    format's own limit), so that no string grows with the site; all files but the last are
+    full. Addresses are numbered by ranges. No file, one empty urlset."""
+    rows = number(sitemap_rows(files, path, mtime, base), ["loc", "lastmod"], "rank")
+    rows = rows.withColumn("part", F.floor(F.col("rank") / per_file).cast("bigint"))
     entry = F.concat(F.lit("  <url>\n    <loc>"), urls.escape_xml("loc"), F.lit("</loc>\n    <lastmod>"), "lastmod", F.lit("</lastmod>\n  </url>\n"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("loc", entry.alias("e")))), lambda x: x["e"]), "")
-    if not total:
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))), lambda x: x["e"]), "")
+    if rows.isEmpty():
         return rows.sparkSession.createDataFrame([(0, 0, URLSET + "</urlset>\n")], "part bigint, n_urls bigint, xml string")
     return rows.groupBy("part").agg(F.count(F.lit(1)).alias("n_urls"), F.concat(F.lit(URLSET), body, F.lit("</urlset>\n")).alias("xml"))
 
