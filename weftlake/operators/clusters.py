@@ -90,12 +90,11 @@ def best_fit(pages: DataFrame, clusters: DataFrame, key: str, cluster: str, orde
     # equal sets score alike and the first wins: one cluster a set is enough
     heads = stage(lib.where(F.size("g") > 0).groupBy(hashed.alias("hid")).agg(F.min_by("c", "o").alias("c"), F.min("o").alias("o"), F.first("g").alias("g")), "fit-heads")
     sets = rows.where(F.size("g") > 0).groupBy(hashed.alias("sid")).agg(F.first("g").alias("g"))
-    same = sets.join(heads.select(F.col("hid").alias("sid"), F.lit(True).alias("same")), "sid", "left")
-    same = stage(same, "fit-sets")
-    best = [same.where("same").select("sid", F.col("sid").alias("hid"), F.lit(1.0).alias("score"))]
+    known = heads.select(F.col("hid").alias("sid"))
+    best = [sets.join(known, "sid", "left_semi").select("sid", F.col("sid").alias("hid"), F.lit(1.0).alias("score"))]
     frequency = stage(heads.select(F.explode("g").alias("x")).groupBy("x").agg(F.count(F.lit(1)).cast("int").alias("f")), "fit-frequency")
     library = stage(in_order(heads, ["hid"], frequency), "fit-ordered")
-    left = stage(in_order(same.where("same is null").select("sid", "g"), ["sid"], frequency), "fit-left")
+    left = stage(in_order(sets.join(known, "sid", "left_anti"), ["sid"], frequency), "fit-left")
     ranks = heads.select("hid", "o")
     for least in sorted({max(0.0, threshold), max(0.0, threshold) / 2, 0.0}, reverse=True):
         if left.isEmpty():
@@ -104,7 +103,7 @@ def best_fit(pages: DataFrame, clusters: DataFrame, key: str, cluster: str, orde
         found = stage(top.select("sid", "b.hid", "b.score"), "fit-found")
         best.append(found)
         if least:
-            left = stage(left.join(found, "sid", "left_anti"), "fit-left")
+            left = left.join(found, "sid", "left_anti")
     scored = best[0]
     for more in best[1:]:
         scored = scored.unionByName(more)

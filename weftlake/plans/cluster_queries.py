@@ -9,6 +9,7 @@ from weftlake.operators import assets, clusters
 from weftlake.plans.markup_queries import mod, sql_mod
 from weftlake.plans.registry import pages, query
 from weftlake.plans.url_queries import _U
+from weftlake.staging import stage
 
 _TAGS = "list_transform(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1), lambda t: lower(t))"
 _LANG = """regexp_extract(html, '<html lang="([^"]*)"', 1)"""
@@ -74,7 +75,7 @@ b as (select page_id, cluster, score, row_number() over (partition by page_id or
 @query(_FIT + " select page_id, cluster, score, score >= 0.7 as fitted from b where rn = 1")
 def best_cluster_fit(spark, sf_dir):
     """Every page against the structures that several pages share, named by their first page."""
-    g = _varied(spark, sf_dir)
+    g = stage(_varied(spark, sf_dir), "varied")
     lib = g.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("cid"), F.first("grams").alias("grams")).where("n > 1").withColumn("ord", F.col("cid"))
     return clusters.best_fit(g, lib, "page_id", "cid", "ord", "grams", "seq")
 
