@@ -253,11 +253,18 @@ def test_commands(spark, tmp_path, capsys):
     from weftlake.plans import commands
 
     env = str(tmp_path / "env")
-    site = {"https://e.org": (200, b"<p>a"), "https://e.org/sitemap.xml": (200, b"<urlset/>")}
+    index = b"<sitemapindex><sitemap><loc>https://e.org/gone.xml</loc></sitemap><sitemap><loc>https://e.org/pages.xml</loc></sitemap></sitemapindex>"
+    site = {"https://e.org/sitemap.xml": (200, index), "https://e.org/pages.xml": (200, b"<urlset><url><loc>https://e.org/a</loc></url></urlset>"), "https://e.org/a": (200, b"<p>a")}
     get = lambda u: site.get(u, (404, b""))
     assert commands.probe("https://e.org/", get) == "https://e.org/sitemap.xml"
     assert commands.init(spark, "https://e.org", get, lambda t: t, {"WEFTLAKE_MODE": "local"}, env) == 0 and (tmp_path / "env").read_text() == "WEFTLAKE_MODE=local\n"
+    assert commands.first_page(spark, "https://e.org/sitemap.xml", get) == "https://e.org/a"
+    asked = []
+    assert commands.init(spark, "https://e.org", get, lambda t: asked.append(t) or t, {"WEFTLAKE_MODE": "remote"}, env) == 0
+    assert (tmp_path / "env").read_text() == "WEFTLAKE_MODE=local\n" and asked == ["<p>a"] and "kept:" in capsys.readouterr().out
     assert commands.init(spark, "https://f.org", get, lambda t: t, {}, env) == 1 and "no sitemap" in capsys.readouterr().err
+    site["https://e.org/pages.xml"] = (200, b"<urlset/>")
+    assert commands.init(spark, "https://e.org", get, lambda t: t, {}, env) == 1 and "lists no page" in capsys.readouterr().err
 
     pages = spark.createDataFrame([("a/index.html", "<p>x"), ("b/index.html", "<p>boom")], "page string, html string")
     none, kept = spark.createDataFrame([], "page string"), []

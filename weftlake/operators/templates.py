@@ -9,48 +9,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftlake.functions import markup, pagefix
+from weftlake.operators import answers
+from weftlake.operators.answers import Generate
 from weftlake.operators.pages import _each
+from weftlake.staging import stage
 
 SYSTEM = "You are given a page that stands for all pages of one structure. Return its HTML with the parts that vary from page to page replaced by {{slot_name}} placeholders, and nothing else."
-Generate = Callable[[str], str]
 
 
 def prompt(html: Column | str, fingerprint: Column | str) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("Structure: "), fingerprint), F.lit("Page:"), html)
 
 
-def generate(rows: DataFrame, text: str, call: Generate, out: str = "answer") -> DataFrame:
-    """``rows`` with what the injected function returns for each text, and ``error``."""
-    names = rows.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            answers, errors = [], []
-            for t in b[text]:
-                try:
-                    answers.append(call(t))
-                    errors.append(None)
-                except Exception as e:  # a failed call is a row, whatever went wrong
-                    answers.append(None)
-                    errors.append(str(e) or type(e).__name__)
-            yield b[names].assign(**{out: pd.Series(answers, b.index, dtype=object), "error": pd.Series(errors, b.index, dtype=object)})
-
-    from pyspark.sql.types import StringType, StructType
-
-    return rows.mapInPandas(run, StructType(list(rows.schema.fields)).add(out, StringType()).add("error", StringType()))
-
-
-def synthesize(clusters: DataFrame, pages: DataFrame, call: Generate) -> DataFrame:
+def synthesize(clusters: DataFrame, pages: DataFrame, call: Generate, folder: str | None = None) -> DataFrame:
     """``cluster_id, fingerprint, template, slots, error``: one call a cluster, for its
-    first page. A template without a slot is an error, and a cluster with one passes
-    its pages through unchanged when filled."""
+    first page, and none for what ``folder`` has an answer to; the result is a table, so
+    reading it again makes no call. A template without a slot is an error, and a cluster
+    with one passes its pages through unchanged when filled."""
     first = clusters.join(pages.select(F.col("url").alias("first_page"), "html"), "first_page")
-    asked = first.select("cluster_id", "fingerprint", prompt("html", "fingerprint").alias("prompt")).repartition(F.col("cluster_id"))
-    said = generate(asked, "prompt", call)
+    asked = stage(first.select("cluster_id", "fingerprint", prompt("html", "fingerprint").alias("prompt")), "asked")
+    keyed = asked.withColumn("key", answers.question_key(F.col("fingerprint"), F.lit(SYSTEM), F.col("prompt")))
+    has_slots = lambda a: F.size(markup.template_slots(markup.strip_fences(a))) > 0
+    said = answers.ask(keyed, "key", "prompt", call, folder, has_slots)
+    rows = keyed.select("cluster_id", "fingerprint", "key").join(said, "key")
     template = markup.strip_fences("answer")
-    slots = markup.template_slots(template)
-    bad = F.col("error").isNull() & (F.size(slots) == 0)
-    return said.select("cluster_id", "fingerprint", F.when(F.col("error").isNull() & ~bad, template).alias("template"), slots.alias("slots"), F.when(bad, F.lit("no slots in the template")).otherwise(F.col("error")).alias("error"))
+    error = F.when(F.col("error") == "not a usable answer", F.lit("no slots in the template")).otherwise(F.col("error"))
+    return rows.select("cluster_id", "fingerprint", template.alias("template"), markup.template_slots(template).alias("slots"), error.alias("error"))
 
 
 selectors = _each(lambda original, template, slots: pagefix.slot_selectors(original, template, list(slots)), "map<string,string>")

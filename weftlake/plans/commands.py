@@ -9,9 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftlake.functions import markup
 from weftlake.operators import effects, templates
 from weftlake.plans import build as plan
 from weftlake.sources import readers
+from weftlake.staging import stage
 
 SITEMAPS = ("sitemap_index.xml", "sitemap.xml")  # addresses probed, in this order
 
@@ -38,20 +40,50 @@ def probe(base: str, get: readers.Fetch) -> str | None:
     return None
 
 
+def settings_file(path: str, settings: dict[str, str]) -> bool:
+    """Write the settings unless there is a file already, which is never touched."""
+    try:
+        with open(path, "x", encoding="utf-8") as f:
+            f.writelines(f"{k}={v}\n" for k, v in settings.items())
+    except FileExistsError:
+        return False
+    return True
+
+
+def first_page(spark: SparkSession, sitemap: str, get: readers.Fetch) -> str | None:
+    """The first address that a sitemap lists, the files of an index asked in their order."""
+    todo, seen = [sitemap], set()
+    while todo:
+        address = todo.pop(0)
+        if address in seen:
+            continue
+        seen.add(address)
+        status, body = get(address)
+        if not 200 <= status < 300:
+            continue
+        told = spark.createDataFrame([(body.decode("utf-8", "replace"),)], "xml string").select(markup.is_sitemap_index("xml").alias("index"), markup.sitemap_locs("xml").alias("locs")).first()
+        if not told["index"] and told["locs"]:
+            return told["locs"][0]
+        todo = [*told["locs"], *todo] if told["index"] else todo
+    return None
+
+
 def init(spark: SparkSession, base: str, get: readers.Fetch, generate: Callable[[str], str], settings: dict[str, str], env_file: str) -> int:
-    """Writes the settings to ``env_file``, looks for a sitemap and has the generator
-    answer to the first page."""
+    """Writes the settings to ``env_file`` if there is none, looks for a sitemap and has the
+    generator answer to the first page that it lists."""
 
     def job() -> int:
-        with open(env_file, "w", encoding="utf-8") as f:
-            f.writelines(f"{k}={v}\n" for k, v in settings.items())
+        print(("written: " if settings_file(env_file, settings) else "kept: ") + env_file)
         found = probe(base, get)
         if found is None:
             raise ValueError(f"no sitemap at {base}")
-        status, body = get(base)
+        address = first_page(spark, found, get)
+        if address is None:
+            raise ValueError(f"{found} lists no page")
+        status, body = get(address)
         if not 200 <= status < 300:
-            raise ValueError(f"{base}: HTTP {status}")
-        page = readers.listed(spark, [base]).withColumn("html", F.lit(body.decode("utf-8", "replace")))
+            raise ValueError(f"{address}: HTTP {status}")
+        page = readers.listed(spark, [address]).withColumn("html", F.lit(body.decode("utf-8", "replace")))
         if not plan.preview(page, generate):
             raise ValueError("the generator gave no answer")
         print(f"ready: {found}")
@@ -66,7 +98,7 @@ def refine(pages: DataFrame, done: DataFrame, call: Callable[[list[str]], list[s
     def job() -> int:
         rows = templates.refine(pages, done, call, force, force_all)
         # the generator's answers are kept once; the counts are read from them
-        rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+        rows = stage(rows, "refined")
         save(rows)
         counts = {r["status"]: r["count"] for r in rows.groupBy("status").count().collect()}  # four at most
         print(", ".join(f"{k}: {n}" for k, n in sorted(counts.items())))

@@ -8,6 +8,7 @@ from weftlake.functions import urls
 from weftlake.operators import clusters, effects, pages as on_pages, templates
 from weftlake.plans.markup_queries import mod
 from weftlake.plans.registry import pages, query
+from weftlake.staging import stage
 
 _ASSETS = ['<link rel="stylesheet" href="/a.css">', '<script src="../js/x.js"></script>', '<img src="i.png" srcset="i.png 1x, /big.png 2x">', '<style>@font-face{src:url(f.woff2)}</style>']
 
@@ -124,9 +125,13 @@ def picture_rewrite(spark, sf_dir):
     return on_pages.to_pictures(rows, v)
 
 
-@query("select distinct page_id, len(regexp_extract_all(html, '<(h1|p)>')) >= 0 as has_segments from pages")
+@query("select page_id, len(list_filter(regexp_extract_all(html, '<p>([^<&]+)</p>', 1), lambda t: trim(t) <> ''))::int as plain_paragraphs, true as all_seen from pages")
 def refine_segments_seen(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", (F.size(on_pages.segments("html")) > 0).alias("has_segments"))
+    """Paragraphs of text alone (no character references), and whether each of them is among the page's segments."""
+    plain = F.filter(F.regexp_extract_all("html", F.lit("<p>([^<&]+)</p>"), F.lit(1)), lambda t: F.trim(t) != "")
+    told = F.transform(on_pages.segments("html"), lambda t: F.trim(t))
+    rows = pages(spark, sf_dir).select("page_id", plain.alias("plain"), told.alias("told"))
+    return rows.select("page_id", F.size("plain").alias("plain_paragraphs"), F.forall("plain", lambda t: F.array_contains("told", F.trim(t))).alias("all_seen"))
 
 
 @query()
@@ -149,8 +154,8 @@ def refine_counts(spark, sf_dir):
 def template_pages(spark, sf_dir):
     """Clusters, one synthesised template each, and every page filled into its own."""
     rows = pages(spark, sf_dir)
-    keyed = rows.select("page_id", "url", F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"), on_pages.skeleton("html").alias("skeleton"))
-    found = clusters.cluster_pages(keyed, "page_id", "url", "lang", "skeleton")
+    keyed = stage(rows.select("page_id", "url", F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"), on_pages.skeleton("html").alias("skeleton")), "structure")
+    found = stage(clusters.cluster_pages(keyed, "page_id", "url", "lang", "skeleton"), "clusters")
     made = templates.synthesize(found, rows, lambda prompt: "```html\n<html><head></head><body><article><h1>{{title}}</h1></article><footer>{{foot}}</footer></body></html>\n```")
     placed = templates.slot_selectors(made, found, rows)
     return templates.fill(rows, clusters.cluster_members(keyed, found, "url", "lang", "skeleton"), placed)
