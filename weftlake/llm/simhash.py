@@ -10,9 +10,10 @@ up to its radius. Every distinct fingerprint is stored under its segment values
 fetched through the small Hamming balls around them; the join condition verifies the
 complete distance. Four narrow, three middle or two wide segments are taken, whichever
 costs least for the number of distinct fingerprints (probes plus expected chance matches);
-the result is the same. Links to a bucket's smallest member are made first, and only
-pairs that these leave in different components are fetched in full; buckets of a single
-component are left out, so a dense group does not emit its pairs.
+the result is the same. Links to a bucket's smallest member are made first. Then a
+bucket's commonest component is not joined with itself: its members meet only probes of
+other components, and only the other members meet all probes, so a dense group does not
+emit its pairs.
 
 :func:`keep_first` works on wider fingerprints, several words of 64 bits over five-word
 shingles: the distance of 512 bits tells a Jaccard similarity of 0.8 from 0.7, which that
@@ -26,6 +27,7 @@ like any other; repeated rows share a component; an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -44,6 +46,8 @@ SCHEMES = (((0, 16, 1), (16, 16, 0), (32, 16, 0), (48, 16, 0)), ((0, 21, 1), (21
 #: Words of a wide fingerprint, and the share of differing bits up to which two link: a
 #: similarity of 0.8 has 0.151 on average, with a deviation of 0.016 over 512 bits.
 WIDE, WIDE_SHARE, WIDE_WORDS = 8, 0.17, 5
+#: The share of bits in which texts of similarity 0.8 differ, and how likely they are to meet.
+WIDE_DIFFER, WIDE_RECALL = 0.155, 0.94
 WIDE_SEEDS = _mix(np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -118,14 +122,46 @@ def link(fps: DataFrame, radius: int = 4, scheme: tuple | None = None) -> DataFr
     stars = table.join(heads, ["seg", "key"]).where(near & (F.col("fp") != F.col("fp2"))).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
     first = stage(components(stars, "simhash-star"), "simhash-first")
     named = stage(fps.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-named")
-    pairs = _stored(named, scheme).join(_probes(named, scheme), ["seg", "key"]).where(near & (F.col("root") < F.col("root2"))).select(F.col("root").alias("a"), F.col("root2").alias("b"))
+    pairs = between(named, scheme).where(near).select(F.col("root").alias("a"), F.col("root2").alias("b"))
     roots = components(pairs, "simhash-all")
     return named.join(roots.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
 
 
+def between(named: DataFrame, scheme: tuple) -> DataFrame:
+    """Stored and probing fingerprints of ``named(fp, root)`` that meet in a bucket and are
+    of different components: ``fp, root, fp2, root2``. The commonest component of a bucket
+    does not meet itself."""
+    stored, probes = _stored(named, scheme), _probes(named, scheme)
+    main = stage(stored.groupBy("seg", "key").agg(F.mode("root", True).alias("main")), "simhash-main")
+    stored = stored.join(main, ["seg", "key"])
+    few = stored.where("root <> main").drop("main").join(probes, ["seg", "key"])
+    most = stored.where("root = main").drop("main").join(probes.join(main, ["seg", "key"]).where("root2 <> main").drop("main"), ["seg", "key"])
+    return few.unionByName(most).where("root <> root2").select("fp", "root", "fp2", "root2")
+
+
 # ---- wide fingerprints ----
 
 
+def wide_scheme(count: int) -> tuple[int, int]:
+    """Bits of a segment and the number of segments for so many fingerprints."""
+    bits = min(40, max(16, (max(1, count) - 1).bit_length()))
+    agree = (1 - WIDE_DIFFER) ** bits
+    return bits, math.ceil(math.log(1 - WIDE_RECALL) / math.log1p(-agree))
+
+
+def wide_places(bits: int, tables: int) -> np.ndarray:
+    """Which bits each segment consists of, in an order that a hash decides."""
+    order = _mix(np.arange(tables * 64 * WIDE, dtype=np.uint64) + np.uint64(1)).reshape(tables, -1)
+    return np.argsort(order, axis=1, kind="stable")[:, :bits]
+
+
+def wide_keys(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The segments of fingerprints (rows of 64-bit words), a number each."""
+    ones = np.unpackbits(np.ascontiguousarray(raw, "<u8").view(np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")
+    weights = np.int64(1) << np.arange(places.shape[1], dtype=np.int64)
+    return ones[:, places] @ weights
+
+
 def wide_fingerprint(text: str | None, words: int = WIDE_WORDS) -> bytes:
     """The WIDE little-endian words of 64 bits of a whole text; zeros without a word."""
     hashed = word_hashes((text or "").encode())
@@ -156,12 +192,19 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
 
 def link_wide(fps: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
     """Components of the distinct fingerprints ``fps(id, fp)``: ``(id, root)``."""
-    bits = min(30, max(16, (max(1, fps.count()) - 1).bit_length()))
+    bits, tables = wide_scheme(fps.count())
     most = int(64 * WIDE * share)
-    places = [(i, j) for i in range(WIDE) for j in range(0, 64 - bits + 1, bits)] if bits > 16 else [(i, j) for i in range(WIDE) for j in range(0, 64, 16)]
-    keys = F.array(*[_segment(F.get("fp", F.lit(i)), j, bits) for i, j in places])
-    # one word of the fingerprint travels with its segments; the others are fetched for likely pairs only
-    table = lambda df, *more: df.select("id", *more, F.col("fp")[0].alias("w"), F.posexplode(keys).alias("seg", "key"))
+    places = wide_places(bits, tables)
+    bound_batches(fps.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(1).flatten().to_numpy().reshape(b.num_rows, WIDE) if b.num_rows else np.empty((0, WIDE), np.int64)
+            keys = wide_keys(raw, places)
+            # one word of the fingerprint travels with its segments; the others are fetched for likely pairs only
+            rows = [np.repeat(b.column(0).to_numpy(), tables), np.repeat(raw[:, 0], tables), np.tile(np.arange(tables, dtype=np.int32), b.num_rows), keys.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["id", "w", "seg", "key"])
+
     likely = F.bit_count(F.col("w").bitwiseXOR(F.col("w2"))) <= int(64 * share) + 12
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -170,7 +213,7 @@ def link_wide(fps: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
         distance = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         return pairs.join(one, "a").join(two, "b").where(distance <= most)
 
-    stored = stage(table(fps), "simhash-stored")
+    stored = stage(fps.select("id", "fp").mapInArrow(cut, "id bigint, w bigint, seg int, key bigint"), "simhash-stored")
     heads = stored.groupBy("seg", "key").agg(F.min(F.struct("id", "w")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select("seg", "key", F.col("h.id").alias("b"), F.col("h.w").alias("w2"))
     stars = stored.join(stage(heads, "simhash-heads"), ["seg", "key"]).where(likely & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")
     first = stage(components(linked(stars).select("a", "b"), "simhash-star"), "simhash-first")
