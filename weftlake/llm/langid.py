@@ -24,28 +24,32 @@ from weftlake.llm.common import bound_batches
 
 HIDDEN, STEPS = 8, 64
 BLOCK = 4096  # chunks of STEPS bytes that are run at once
-LETTER = re.compile(r"[^\W\d_]")
+LABELS = 512  # languages that are learned at most, the most frequent ones
+WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and number signs like the half and the circled one
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in WORDLIKE.finditer(text))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_lang: int = 300) -> dict[str, list[str]]:
-    """At most ``per_lang`` whole texts for each language, from rows that aren't held out,
-    in the order of a hash of id and text: the number of rows does not grow with the table,
-    whatever ids repeat."""
+def training_sample(docs: DataFrame, per_lang: int = 300, labels: int = LABELS) -> dict[str, list[str]]:
+    """At most ``per_lang`` whole texts for each of the ``labels`` most frequent languages,
+    from rows that aren't held out, in the order of a hash of id and text: the number of
+    rows does not grow with the table, whatever ids repeat and however many labels it has."""
     fit = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in fit.groupBy("lang").count().collect()}
+    counts = [(r[0], r[1]) for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(labels).collect()]
     if not counts:
         return {}
     unit = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * per_lang / n))).otherwise(share)
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, 2.0 * per_lang / n)) for lang, n in counts], "lang string, share double")
     # each task keeps per_lang rows of a language at most before anything is shuffled
     first = F.row_number().over(Window.partitionBy("lang").orderBy("u", "x"))
-    rows = fit.where(unit < share).select("lang", unit.alias("u"), F.col("text").alias("x")).withColumn("n", first).where(F.col("n") <= per_lang).collect()
+    few = fit.join(F.broadcast(shares), "lang").where(unit < F.col("share"))
+    rows = few.select("lang", unit.alias("u"), F.col("text").alias("x")).withColumn("n", first).where(F.col("n") <= per_lang).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.u, r.x)):
         out.setdefault(r.lang, []).append(r.x)
@@ -136,7 +140,7 @@ class ByteGru:
         rng = np.random.default_rng(seed)
         pools = []
         for lang in self.langs:
-            raw = [np.frombuffer(s.encode(), np.uint8) for s in sample[lang] if LETTER.search(s)]
+            raw = [np.frombuffer(s.encode(), np.uint8) for s in sample[lang] if has_letter(s)]
             joined = np.concatenate([*raw, np.zeros(STEPS, np.uint8)]) if raw else np.zeros(STEPS + 1, np.uint8)
             pools.append(joined)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -202,7 +206,7 @@ class ByteGru:
             pend, held = [], 0
 
         for i, text in enumerate(texts):
-            if text is None or not self.langs or not LETTER.search(text):
+            if text is None or not self.langs or not has_letter(text):
                 continue
             raw, lo = text.encode(), 0
             while lo < len(raw):
