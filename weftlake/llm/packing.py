@@ -14,6 +14,9 @@ with the data:
 4. what is left over and all small lengths go, longest first, to the open sequence
    with the least room that takes them.
 
+What counts as large is tried at three bounds, and the plan with the fewest sequences is
+taken.
+
 The plan is a table of runs (length, first rank, count, first sequence, offset);
 pieces are ranked within their length by many tasks and look up their run.
 
@@ -283,13 +286,20 @@ def make_plan(hist: dict[int, int], capacity: int = 1024, groups: int = 128, lar
     return plan, seqs
 
 
+def best_plan(hist: dict[int, int], capacity: int = 1024, groups: int = 128) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """The plan with the fewest sequences over three bounds of what is large: over a fifth,
+    a third and half of the capacity. Over half, a configuration holds one length and
+    rounding costs nothing, so a plan is never worse than best fit, longest first."""
+    return min((make_plan(hist, capacity, groups, capacity // k) for k in (5, 3, 2)), key=lambda p: p[1])
+
+
 def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, groups: int = 128, with_ids: bool = False) -> DataFrame:
     """Pieces with their place: ``doc_id, piece, start, length, ids_crc32, sequence_id,
     offset`` and, with ``with_ids``, the ids."""
     spark = docs.sparkSession
     items = stage(pieces(docs, path, capacity, end_id, with_ids).withColumn("_wl_uid", F.monotonically_increasing_id()), "pack-pieces")
     hist = {r[0]: r[1] for r in items.groupBy("length").count().collect()}
-    plan, _ = make_plan(hist, capacity, groups)
+    plan, _ = best_plan(hist, capacity, groups)
     runs = np.array(sorted(plan) or [(0, 0, 0, 0, 0)], np.int64)
     shared = spark.sparkContext.broadcast((runs[:, 0] << 44 | runs[:, 1], runs))  # bounded by the capacity, see above
     # a common length is ranked by as many tasks as its rows need, at most a bucket for each length besides
