@@ -50,10 +50,28 @@ def savings(before_after: DataFrame, before: str, after: str) -> DataFrame:
     return before_after.agg(F.count(F.lit(1)).alias("pages"), F.count_if(~F.col(before).eqNullSafe(F.col(after))).alias("changed"), F.coalesce(F.sum(b), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum(a), F.lit(0)).alias("bytes_after"))
 
 
-def glyphs(pages: DataFrame, html: str, by: list[str] | None = None) -> DataFrame:
-    """Distinct characters of the visible text (by group); duplicates go before the shuffle."""
+BLOCK = 32_768  # code points of one bitmap
+
+
+def glyph_maps(pages: DataFrame, html: str, by: list[str] | None = None) -> DataFrame:
+    """``block, bits``, by group: which characters the visible text has, a bitmap for each
+    block of code points. A group has 34 of them at most, whatever its texts hold, and
+    tasks send bitmaps, not characters."""
     chars = F.explode(F.array_distinct(F.split(markup.visible_text(html), "")))
-    return pages.select(*(by or []), chars.alias("glyph")).where("glyph <> ''").distinct()
+    seen = pages.select(*(by or []), chars.alias("glyph")).where("glyph <> ''")
+    code = F.conv(F.hex(F.encode("glyph", "UTF-32")), 16, 10).cast("bigint")
+    points = seen.select(*(by or []), F.floor(code / BLOCK).cast("int").alias("block"), (code % BLOCK).alias("bit"))
+    return points.groupBy(*(by or []), "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def glyphs(pages: DataFrame, html: str, by: list[str] | None = None) -> DataFrame:
+    """Distinct characters of the visible text (by group), read from its bitmaps."""
+    maps = glyph_maps(pages, html, by)
+    byte = lambda i: F.conv(F.hex(F.substring("bits", i + 1, 1)), 16, 10).cast("int")
+    rows = maps.select(*(by or []), "block", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BLOCK // 8 - 1)), byte)).alias("i", "byte")).where("byte <> 0")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.col("byte").bitwiseAND(F.pow(F.lit(2), k).cast("int")) != 0)
+    codes = rows.select(*(by or []), "block", "i", F.explode(bits).alias("k")).withColumn("code", F.col("block") * BLOCK + F.col("i") * 8 + F.col("k"))
+    return codes.select(*(by or []), F.decode(F.unhex(F.lpad(F.hex("code"), 8, "0")), "UTF-32").alias("glyph"))
 
 
 def verdict(entries: DataFrame, ratio: str, threshold: float = 0.02) -> DataFrame:

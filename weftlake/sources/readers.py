@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftlake.functions import urls
 from weftlake.operators import crawl
+from weftlake.staging import stage
 
 Fetch = Callable[[str], tuple[int, bytes]]
 
@@ -44,21 +47,35 @@ def listed(spark: SparkSession, addresses: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(dict.fromkeys(addresses))), "page_id bigint, url string")
 
 
-def fetch(requests: DataFrame, get: Fetch, url: str = "url", hosts: int = 64, delay: float = 0.2, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> DataFrame:
-    """``url, status, body, error``: each distinct address once, failures as rows. All
-    addresses of a host are in one partition, which waits ``delay`` seconds between two
-    requests to it; ``hosts`` partitions bound what runs at once."""
-    todo = requests.select(F.col(url).alias("url")).distinct().withColumn("host", urls.host("url")).repartition(hosts, "host").sortWithinPartitions("host", "url")
+LANES, PER_LANE = 16, 200  # tasks that share a host at most; addresses that a further one is for
+AGAIN = (408, 425, 429, 500, 502, 503, 504)  # statuses that may be better later
+
+
+def next_slot(now: float, epoch: float, delay: float, lane: int, lanes: int, last: int) -> tuple[int, float]:
+    """The number and time of a lane's next slot. A host's time is cut into slots of
+    ``delay`` seconds from ``epoch`` on; lane j of n has every n-th of them, from the j-th,
+    so no two lanes ever send in one slot, whenever their tasks happen to run."""
+    if delay <= 0:
+        return last + 1, now
+    n = max(last + 1, math.ceil(((now - epoch) / delay - lane) / lanes - 1e-9))
+    return n, epoch + (n * lanes + lane) * delay
+
+
+def _fetch_once(requests: DataFrame, get: Fetch, url: str, hosts: int, delay: float, lanes: int, per_lane: int, sleep: Callable[[float], None], clock: Callable[[], float]) -> DataFrame:
+    todo = requests.select(F.col(url).alias("url")).distinct().withColumn("host", urls.host("url"))
+    sizes = todo.groupBy("host").agg(F.least(F.lit(lanes), F.ceil(F.count(F.lit(1)) / per_lane)).cast("int").alias("lanes"))
+    dealt = todo.join(sizes, "host").withColumn("lane", F.pmod(F.xxhash64("url"), F.col("lanes")).cast("int"))
+    dealt = dealt.repartition(hosts, "host", "lane").sortWithinPartitions("host", "lane", "url")
+    epoch = clock()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[str, float] = {}
+        last: dict[tuple[str, int], int] = {}
         for batch in batches:
             out = []
-            for address, host in zip(batch["url"], batch["host"]):
-                wait = last.get(host, -1e9) + delay - clock()
-                if wait > 0:
+            for address, host, lane, n in zip(batch["url"], batch["host"], batch["lane"], batch["lanes"]):
+                last[host, lane], at = next_slot(clock(), epoch, delay, lane, n, last.get((host, lane), -1))
+                if (wait := at - clock()) > 0:
                     sleep(wait)
-                last[host] = clock()
                 try:
                     status, body = get(address)
                     out.append((address, status, body if 200 <= status < 300 else None, None if 200 <= status < 300 else f"HTTP {status}"))
@@ -66,7 +83,31 @@ def fetch(requests: DataFrame, get: Fetch, url: str = "url", hosts: int = 64, de
                     out.append((address, None, None, str(e)))
             yield pd.DataFrame({"url": [r[0] for r in out], "status": pd.array([r[1] for r in out], dtype="Int32"), "body": [r[2] for r in out], "error": [r[3] for r in out]})
 
-    return todo.mapInPandas(run, "url string, status int, body binary, error string")
+    return dealt.mapInPandas(run, "url string, status int, body binary, error string")
+
+
+def fetch(requests: DataFrame, get: Fetch, url: str = "url", hosts: int = 64, delay: float = 0.2, lanes: int = LANES, per_lane: int = PER_LANE, retries: int = 0, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.time) -> DataFrame:
+    """``url, status, body, error``: each distinct address once, failures as rows;
+    ``hosts`` partitions bound what runs at once.
+
+    A host with many addresses is shared by up to ``lanes`` tasks, so it neither fills one
+    task nor waits for one slow answer. Requests to it stay ``delay`` seconds apart, as
+    each task has slots of its own (machines' clocks have to agree better than that).
+    With ``retries``, what failed in a way that may pass (no answer, or a status in
+    ``AGAIN``) is written to a table and asked again, a round at a time; then ``attempts``
+    tells how often an address was asked."""
+    once = lambda rows, column: _fetch_once(rows, get, column, hosts, delay, lanes, per_lane, sleep, clock)
+    if not retries:
+        return once(requests, url)
+    left, column, done = requests, url, []
+    for attempt in range(1, retries + 2):
+        got = stage(once(left, column).withColumn("attempts", F.lit(attempt)), "fetched")
+        again = F.coalesce(F.col("status").isin(*AGAIN), F.lit(True)) & (attempt <= retries)
+        done.append(got.where(~again))
+        left, column = got.where(again).select("url"), "url"
+        if attempt <= retries and left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)
 
 
 def fetch_robots(requests: DataFrame, get: Fetch, url: str = "url", **options) -> DataFrame:
