@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import bound_batches, components, fresh, stage
+from weftlake.llm.common import bound_batches, components, drop_stage, fresh, stage
 from weftlake.llm.suffix import Words, _mix, word_hashes
 
 SEED, PIECE = 42, 65_536
@@ -215,16 +215,21 @@ def link_wide(fps: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
 
     stored = stage(fps.select("id", "fp").mapInArrow(cut, "id bigint, w bigint, seg int, key bigint"), "simhash-stored")
     heads = stored.groupBy("seg", "key").agg(F.min(F.struct("id", "w")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select("seg", "key", F.col("h.id").alias("b"), F.col("h.w").alias("w2"))
-    stars = stored.join(stage(heads, "simhash-heads"), ["seg", "key"]).where(likely & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")
+    heads = stage(heads, "simhash-heads")
+    stars = stored.join(heads, ["seg", "key"]).where(likely & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")
     first = stage(components(linked(stars).select("a", "b"), "simhash-star"), "simhash-first")
     named = stage(fps.select("id").join(first.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")), "simhash-named")
     rows = stored.join(named, "id")
     # of a bucket, the rows outside its commonest component are compared with all the others
     mixed = rows.groupBy("seg", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root", True).alias("main")).where("lo <> hi").select("seg", "key", "main")
-    rows = stage(rows.join(stage(mixed, "simhash-mixed"), ["seg", "key"]), "simhash-rows")
+    mixed = stage(mixed, "simhash-mixed")
+    rows = stage(rows.join(mixed, ["seg", "key"]), "simhash-rows")
+    for df in (stored, heads, mixed):  # nothing reads them any more
+        drop_stage(df)
     others = rows.where("root <> main").select("seg", "key", F.col("id").alias("b"), F.col("root").alias("root2"), F.col("w").alias("w2"))
     pairs = rows.join(others, ["seg", "key"]).where(likely & (F.col("root") != F.col("root2")))
     found = linked(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")))
+    drop_stage(rows)
     top = found.select("a", "b").unionAll(named.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     roots = components(top, "simhash-all")
     return fps.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
