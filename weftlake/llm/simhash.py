@@ -200,38 +200,59 @@ def link_wide(fps: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column(1).flatten().to_numpy().reshape(b.num_rows, WIDE) if b.num_rows else np.empty((0, WIDE), np.int64)
-            keys = wide_keys(raw, places)
+            keys = wide_keys(raw, places).astype(np.uint64) ^ (np.arange(tables, dtype=np.uint64) << np.uint64(bits))
             # one word of the fingerprint travels with its segments; the others are fetched for likely pairs only
-            rows = [np.repeat(b.column(0).to_numpy(), tables), np.repeat(raw[:, 0], tables), np.tile(np.arange(tables, dtype=np.int32), b.num_rows), keys.ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["id", "w", "seg", "key"])
+            rows = [_mix(keys.ravel()).view(np.int64), np.repeat(b.column(0).to_numpy(), tables), np.repeat(raw[:, 0], tables)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["key", "id", "w"])
 
     likely = F.bit_count(F.col("w").bitwiseXOR(F.col("w2"))) <= int(64 * share) + 12
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = stage(pairs.distinct(), "simhash-likely")
+        pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-likely")
         one, two = fps.select(F.col("id").alias("a"), F.col("fp").alias("x")), fps.select(F.col("id").alias("b"), F.col("fp").alias("y"))
         distance = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return pairs.join(one, "a").join(two, "b").where(distance <= most)
-
-    stored = stage(fps.select("id", "fp").mapInArrow(cut, "id bigint, w bigint, seg int, key bigint"), "simhash-stored")
-    heads = stored.groupBy("seg", "key").agg(F.min(F.struct("id", "w")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select("seg", "key", F.col("h.id").alias("b"), F.col("h.w").alias("w2"))
-    heads = stage(heads, "simhash-heads")
-    stars = stored.join(heads, ["seg", "key"]).where(likely & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")
-    first = stage(components(linked(stars).select("a", "b"), "simhash-star"), "simhash-first")
-    named = stage(fps.select("id").join(first.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")), "simhash-named")
-    rows = stored.join(named, "id")
-    # of a bucket, the rows outside its commonest component are compared with all the others
-    mixed = rows.groupBy("seg", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root", True).alias("main")).where("lo <> hi").select("seg", "key", "main")
-    mixed = stage(mixed, "simhash-mixed")
-    rows = stage(rows.join(mixed, ["seg", "key"]), "simhash-rows")
-    for df in (stored, heads, mixed):  # nothing reads them any more
+        return pairs.join(one, "a").join(two, "b").where(distance <= most).select("a", "b")
+
+    def rooted(links: DataFrame) -> DataFrame:
+        """``node, root`` of the fingerprints that have a link."""
+        return stage(components(links, "simhash-star"), "simhash-first")
+
+    def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    # segments are cut anew where they are needed: that takes less than writing and reading them
+    stored = fps.select("id", "fp").mapInArrow(cut, "key bigint, id bigint, w bigint")
+    head = [F.min_by("id", "w").alias("b"), F.min("w").alias("w2")]
+    heads = stage(stored.groupBy("key").agg(*head, F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-heads")
+    # a bucket of two is done with its star; of larger ones the rows are needed again
+    met = stage(stored.join(heads, "key").where((likely & (F.col("id") != F.col("b"))) | (F.col("n") > 2)), "simhash-met")
+    drop_stage(heads)
+    stars = stage(linked(met.where(likely & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")), "simhash-stars")
+    first = rooted(stars)
+    dense = stage(with_roots(met.where("n > 2").select("key", "id", "w"), first), "simhash-dense")
+    drop_stage(met)
+    # of a bucket with several components, the rows outside its commonest one are compared with all the others
+    by_key = [F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root", True).alias("main")]
+    mixed = stage(dense.groupBy("key").agg(*by_key).where("lo <> hi").select("key", "main"), "simhash-mixed")
+    rows = stage(dense.join(mixed, "key"), "simhash-rows")
+    for df in (dense, mixed):  # nothing reads them any more
+        drop_stage(df)
+    # a second star first, around a row outside the commonest component: what it joins needs no pairs
+    other = stage(rows.where("root <> main").groupBy("key").agg(*head), "simhash-other")
+    more = stage(linked(rows.join(other, "key").where(likely & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")), "simhash-more")
+    second = rooted(stars.unionAll(more))
+    rows = with_roots(rows.select("key", "id", "w"), second)
+    main = stage(rows.groupBy("key").agg(*by_key).where("lo <> hi").select("key", "main"), "simhash-main")
+    rows = stage(rows.join(main, "key"), "simhash-rows")
+    others = rows.where("root <> main").select("key", F.col("id").alias("b"), F.col("root").alias("root2"), F.col("w").alias("w2"))
+    # two rows outside it meet once
+    once = (F.col("root") == F.col("main")) | (F.col("id") < F.col("b"))
+    pairs = rows.join(others, "key").where(once & likely & (F.col("root") != F.col("root2")))
+    found = linked(pairs.select(F.col("id").alias("a"), "b"))
+    top = found.unionAll(second.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    roots = stage(components(top, "simhash-all"), "simhash-last")
+    for df in (other, main, rows, stars, more, first, second):
         drop_stage(df)
-    others = rows.where("root <> main").select("seg", "key", F.col("id").alias("b"), F.col("root").alias("root2"), F.col("w").alias("w2"))
-    pairs = rows.join(others, ["seg", "key"]).where(likely & (F.col("root") != F.col("root2")))
-    found = linked(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")))
-    drop_stage(rows)
-    top = found.select("a", "b").unionAll(named.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    roots = components(top, "simhash-all")
     return fps.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
