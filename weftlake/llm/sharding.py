@@ -1,10 +1,14 @@
 """Sharding by balanced label propagation.
 
 Documents with equal texts are linked. Linked documents start in a shard given by
-a hash and, round by round, move to the shard where most of their neighbours are,
+a hash, those of large groups (over 1/64 of a quota, so fewer than 64 times the shards)
+together in the shard that they fill best, and, round by round, move to the shard where most of their neighbours are,
 as far as the shard's quota has room; what neighbours are where is a histogram by
-(text, shard), never a list of pairs. Unlinked documents cut no edge wherever they
-go, so they fill the shards up to exactly even row counts at the end.
+(text, shard), never a list of pairs. A group that fills shards by itself (there are fewer
+of those than shards) is given them before, and what is left of it moves like any other.
+Unlinked documents cut no edge wherever they go, so they fill the shards up to exactly even
+row counts at the end, after groups that passed a quota: those stand together, so that
+at most one group is cut at each shard's end.
 
 The law is ``rows``: the shards' row counts differ by one at most. Defined results:
 a null text counts as an empty one (size 1, crc 0); repeated rows are separate
@@ -45,6 +49,30 @@ def admitted(wish: dict[tuple[int, int], int], held: list[int], quota: list[int]
     return share
 
 
+def whole_shards(groups: list[tuple[int, int]], quota: list[int]) -> dict[int, list[int]]:
+    """The shards that each group of ``(g, n)`` fills by itself, largest groups first."""
+    free, out = [s for s in range(len(quota)) if quota[s]], {}
+    for g, n in sorted(groups, key=lambda x: (-x[1], x[0])):
+        while fits := [s for s in free if quota[s] <= n]:
+            s = max(fits, key=lambda s: (quota[s], -s))
+            free.remove(s)
+            out.setdefault(g, []).append(s)
+            n -= quota[s]
+    return out
+
+
+def starts(groups: list[tuple[int, int]], room: list[int]) -> list[tuple[int, int]]:
+    """``(g, shard)`` where large groups start: best fit, longest first; what fits nowhere
+    goes where most room is."""
+    left, out = list(room), []
+    for g, n in sorted(groups, key=lambda x: (-x[1], x[0])):
+        fits = [s for s in range(len(left)) if left[s] >= n]
+        s = min(fits, key=lambda s: (left[s], s)) if fits else max(range(len(left)), key=lambda s: (left[s], -s))
+        left[s] -= n
+        out.append((g, s))
+    return out
+
+
 def propagate(linked: DataFrame, quota: list[int], rounds: int = 8) -> DataFrame:
     """``linked(g, n, shard, ...)`` with shards after the moves. A round joins each
     document with its text's most common shard that has room."""
@@ -112,24 +140,54 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 8) -> DataFrame:
     # written first, so that Spark may split a large group's rows over many join tasks
     sizes = stage(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shard-sizes")
     rows = stage(rows.join(sizes, "g", "left").withColumn("n", F.coalesce("n", F.lit(1))), "shard-grouped")
-    linked = rows.where("n > 1").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int"))
-    linked = propagate(stage(linked, "shard-start"), quota, rounds)
+    large = [(r[0], r[1]) for r in sizes.where(F.col("n") >= max(1, min(quota))).collect()]  # fewer than 2 * shards
+    own = whole_shards(large, quota)
+    taken = {s for found in own.values() for s in found}
+    cols = ["doc_id", "size", "text_crc32", "g", "n", "uid"]
+    alone = None
+    if own:
+        mine = global_rank(rows.where(F.col("g").isin(list(own))), ["g"], ["uid"], ["doc_id", "uid"], "_wl_rank", buckets)
+        to, start, used = F.lit(None).cast("int"), F.lit(None).cast("bigint"), F.lit(0)
+        for g, found in own.items():
+            first = 0
+            for s in found:
+                inside = (F.col("g") == g) & (F.col("_wl_rank") >= first) & (F.col("_wl_rank") < first + quota[s])
+                to, start = F.when(inside, F.lit(s)).otherwise(to), F.when(inside, F.lit(first)).otherwise(start)
+                first += quota[s]
+            used = F.when(F.col("g") == g, F.lit(first)).otherwise(used)
+        mine = stage(mine.select(*cols, to.alias("shard"), (F.col("_wl_rank") - start).alias("slot"), used.alias("used")), "shard-own")
+        alone = mine.where("shard is not null").select(*cols, "shard", F.col("slot").cast("bigint").alias("slot"))
+        left = mine.where("shard is null").withColumn("n", F.col("n") - F.col("used"))
+        rows = rows.where(~F.col("g").isin(list(own))).select(*cols).unionByName(left.select(*cols))
+    room = [0 if s in taken else q for s, q in enumerate(quota)]
+    open_ = [s for s in range(shards) if s not in taken] or [0]
+    start = F.get(F.array(*[F.lit(s) for s in open_]), F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(len(open_))).cast("int"))
+    linked = rows.where("n > 1").withColumn("shard", start)
+    big = [(r[0], r[1]) for r in linked.where(F.col("n") * 64 > max(room)).select("g", "n").distinct().collect()]  # fewer than 64 * shards
+    if big:
+        first = rows.sparkSession.createDataFrame(starts(big, room), "g bigint, first int")
+        linked = linked.join(F.broadcast(first), "g", "left").withColumn("shard", F.coalesce("first", "shard")).drop("first")
+    linked = propagate(stage(linked, "shard-start"), room, rounds)
     # groups stand together, so that a quota cuts as few of them as can be
     placed = stage(in_groups(linked, buckets), "shard-placed")
-    limit = F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("shard") + 1)
+    limit = F.element_at(F.array(*[F.lit(q) for q in room]), F.col("shard") + 1)
     kept = placed.where(F.col("slot") < limit)
     held = [0] * shards
     for r in kept.groupBy("shard").count().collect():
         held[r[0]] = r[1]
-    cols = ["doc_id", "size", "text_crc32", "g", "n", "uid"]
-    pool = rows.where("n = 1").select(*cols).unionByName(placed.where(F.col("slot") >= limit).select(*cols))
-    pool = global_rank(pool, [], ["uid"], ["n", "g", "doc_id"], "_wl_pool", buckets)
+    # what passes a quota comes first, group by group, and single documents after it
+    over = stage(placed.where(F.col("slot") >= limit).select(*cols), "shard-over")
+    ahead = over.count()
+    over = in_groups(over.withColumn("shard", F.lit(0)), buckets).select(*cols, F.col("slot").alias("_wl_pool"))
+    single = global_rank(rows.where("n = 1").select(*cols), [], ["uid"], ["g", "doc_id"], "_wl_pool", buckets)
+    pool = over.unionByName(single.withColumn("_wl_pool", F.col("_wl_pool") + ahead))
     to, start, first = F.lit(None).cast("int"), F.lit(None).cast("bigint"), 0
     for s in range(shards):
-        free = quota[s] - held[s]
+        free = room[s] - held[s]
         inside = (F.col("_wl_pool") >= first) & (F.col("_wl_pool") < first + free)
         to, start = F.when(inside, F.lit(s)).otherwise(to), F.when(inside, F.lit(held[s] - first)).otherwise(start)
         first += free
     filled = pool.select(*cols, to.alias("shard"), (F.col("_wl_pool") + start).alias("slot"))
     both = kept.select(*cols, "shard", F.col("slot").cast("bigint").alias("slot")).unionByName(filled)
+    both = both.unionByName(alone) if alone is not None else both
     return both.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
