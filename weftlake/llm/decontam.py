@@ -1,9 +1,12 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Texts and benchmark items are cut at white space; a token that holds digits becomes
-``<num>`` (with a unit glued to it, too), a unit after a number ``<unit>``, a
-capitalised word inside a sentence ``<name>``; other tokens are lower-cased and
-lose their outer punctuation. Windows of ``window`` such tokens are hashed and
+``<num>`` (with a unit glued to it, too), and so does an English number word; a unit after a number
+becomes ``<unit>``, a capitalised word inside a sentence ``<name>``, and so does a word in
+capitals after one that ends in a small letter, a digit or a comma, and a sentence's first
+word before a capitalised one or with a possessive ending; other tokens are lower-cased
+and lose their outer punctuation. Any other first word of a sentence stands for itself,
+which costs a question with another name there one word of its coverage. Windows of ``window`` such tokens are hashed and
 hash-joined with those of the items. Matched windows are gathered by occurrence: those
 with the same offset (place in the document minus place in the item), those whose
 offsets differ by up to a quarter of the item, and, for items that are spread out,
@@ -15,8 +18,13 @@ question with other numbers or names is caught so, with kind ``template``; equal
 values give ``verbatim``. A window with fewer than two plain tokens matches its own
 words only.
 
+Before places are gathered, documents and items whose matched windows can't cover enough
+of the item are left out by a bound taken from a bit for each place, so that a window that
+many items share costs one aggregated row for each document and item.
+
 Defined results: null and empty texts and items match nothing; an item of fewer
-tokens than a window is matched by one window of its own length; items that repeat id
+tokens than a window is matched by one window of its own length; one of one or two words
+(below ``LEAST_WORDS``) only matches a text that consists of it; items that repeat id
 and text are one item, document rows that do so give one hit; rows that share an id
 but not a text are judged, and dropped, one by one; a null id is an id of its own.
 """
@@ -26,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlake.llm.common import fresh, stage
+from weftlake.llm.common import drop_stage, fresh, stage
 
 WINDOW, COVERAGE, CONSISTENCY = 5, 0.8, 0.8
 #: Largest number of item windows that is sent to every executor; beyond it the join shuffles.
@@ -35,13 +43,19 @@ BROADCAST_WINDOWS = 400_000
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal s sec min h hr hrs day days week weeks month months year years kb mb gb tb hz khz mhz ghz w kw kwh v a c f k % percent usd eur gbp dollars dollar euros euro cents cent km/h mph m/s meters metres meter metre miles mile hours hour minutes minute seconds second grams gram kilograms kilometers liters litres".split()
 PUNCT = ".,;:!?\"'()[]{}«»“”‘’…*#&$@~^_|\\/+=`´·–—-¡¿%"
 SLOTS = ("<num>", "<name>", "<unit>")
+#: Items of fewer words are held against whole texts: as a passage they say nothing.
+LEAST_WORDS = 3
+# English number words.
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+_number = "(?:" + "|".join(sorted(NUMBER_WORDS, key=lambda u: (-len(u), u))) + ")"
 
 
 def canonical(text: Column) -> Column:
     """The text with typed placeholders, lower-cased; tokens keep their places."""
-    x = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+", "<name>")
+    first = r"(?<=\A|[.!?]\s)\p{Lu}\p{Ll}+(?= \p{Lu}\p{Ll}|['’]s\s)"
+    x = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+|(?<=[\p{Ll}\p{Nd},] )\p{Lu}{2,}(?!\p{L})|" + first, "<name>")
     x = F.lower(x)
-    x = F.regexp_replace(x, r"[^\s\p{L}\p{N}]?\d[^\s]*", "<num>")
+    x = F.regexp_replace(x, r"[^\s\p{L}\p{N}]?\d[^\s]*|(?<![^\s(\"'“])" + _number + "(?:-" + _number + r")*(?=[\s.,;:!?)\"'”]|\z)", "<num>")
     return F.regexp_replace(x, r"<num>(\s)(?:" + "|".join(u.replace("/", "\\/") for u in sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?=[\s.,;:!?)]|\z)", "<num>$1<unit>")
 
 
@@ -102,6 +116,13 @@ def found_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverag
         bench = F.broadcast(bench)
     found = windows(docs, "rid", sorted({*short, window}))
     hits = found.join(bench, (F.col("hash") == F.col("h2")) & (F.col("len") == F.col("len2")))
+    hits = hits.where((F.col("n_item") >= LEAST_WORDS) | (F.col("n") == F.col("n_item")))
+    # written, so that documents are cut into windows once
+    met = stage(hits.select("rid", "iid", "n_item", "pos", "at", "len"), "leaks-met")
+    # matched places of an item, modulo 64: so many times ceil(n_item / 64) times a window is the most they can cover
+    seen = met.groupBy("rid", "iid", "n_item").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at") % 64)).alias("m"), F.max("len").alias("len"))
+    enough = seen.where(F.bit_count("m") * F.ceil(F.col("n_item") / 64) * F.col("len") >= F.col("n_item") * coverage).select("rid", "iid")
+    hits = met.join(enough, ["rid", "iid"], "left_semi")
     # words of the document that stand for words of the item; overlapping windows name them once
     place = F.explode(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1))
     hits = hits.select("rid", "iid", "n_item", (F.col("pos") - F.col("at")).alias("offset"), place.alias("p")).distinct()
@@ -119,6 +140,7 @@ def found_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverag
     given = slots(docs.join(covered.select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"]), "rid", "d", "s")
     pairs = hits.join(covered.select(*key), key, "left_semi").join(asked, ["iid", "p"]).join(given, ["rid", "d"])
     votes = stage(pairs.groupBy(*key, "a", "s").agg(F.count(F.lit(1)).alias("n")), "leaks-votes")
+    drop_stage(met)
     # both ways: a value of the item has one value there, and the other way round
     ways = [votes.groupBy(*key, x).agg(F.max("n").alias("top"), F.sum("n").alias("all")).groupBy(*key).agg((F.sum("top") / F.sum("all")).alias(f"by_{x}")) for x in ("a", "s")]
     same = votes.groupBy(*key).agg(F.bool_and(F.col("a") == F.col("s")).alias("same"))
