@@ -65,3 +65,25 @@ def test_a_window_that_all_items_share(spark):
     items = [f"{phrase} " + " ".join(f"i{k}w{j}" for j in range(20 + 30 * k)) for k in range(6)]
     texts = [f"{phrase} about d{i} and so on " * 4 for i in range(20)] + [f"x y z {items[5]} z"]
     assert found(spark, texts, items) == {(20, 5): "verbatim"}
+
+
+def test_canonical_against_plain_rules(spark):
+    """The factored patterns against the rules said one by one, over made texts."""
+    import random
+
+    import regex
+    from pyspark.sql import functions as F
+
+    word = "(?:" + "|".join(sorted(decontam.NUMBER_WORDS, key=len, reverse=True)) + ")"
+    unit = "(?:" + "|".join(regex.escape(u) for u in sorted(decontam.UNITS, key=len, reverse=True)) + ")"
+
+    def plain(t):
+        t = regex.sub(r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+|(?<=[\p{Ll}\p{Nd},] )\p{Lu}{2,}(?!\p{L})|(?<=\A|[.!?][ \n\t])\p{Lu}\p{Ll}+(?= \p{Lu}\p{Ll}|['’]s[ \n\t])", "<name>", t).lower()
+        t = regex.sub(rf"[^ \n\t\p{{L}}\p{{N}}]?[0-9][^ \n\t]*|(?<![^ \n\t(\"'“]){word}(?:-{word})*(?=[ \n\t.,;:!?)\"'”]|\Z)", "<num>", t)
+        return regex.sub(rf"<num>([ \n\t]){unit}(?=[ \n\t.,;:!?)]|\Z)", r"<num>\1<unit>", t)
+
+    random.seed(11)
+    bits = [*decontam.NUMBER_WORDS[:14], "Seven", "SIX", "twenty-five", "Anna", "BOB", "Émile", "ÄÖ", "x", "3", "3kg", "$5", "kg", "hours", "’s ", "'s ", *".,()\"“”'-!²½<>", "𝐀bc", "😀", "\n", "\t", *" " * 8]
+    texts = ["".join(random.choice(bits) for _ in range(random.randint(0, 25))) for _ in range(20_000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), DOCS).select("doc_id", decontam.canonical(F.col("text")).alias("c")).collect()
+    assert [(texts[r["doc_id"]], r["c"]) for r in rows if r["c"] != plain(texts[r["doc_id"]])] == []

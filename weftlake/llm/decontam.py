@@ -47,15 +47,25 @@ SLOTS = ("<num>", "<name>", "<unit>")
 LEAST_WORDS = 3
 # English number words.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
-_number = "(?:" + "|".join(sorted(NUMBER_WORDS, key=lambda u: (-len(u), u))) + ")"
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words, longest first, by first letter: most places of a text are left after one look."""
+    by = {c: sorted((w[1:] for w in words if w[0] == c), key=lambda u: (-len(u), u)) for c in sorted({w[0] for w in words})}
+    return f"(?=[{''.join(by)}])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")"
+
+
+_number = _any_of(NUMBER_WORDS)
+_numbers = _number + "(?:-" + _number + r")*(?=[\s.,;:!?)\"'”]|\z)"
+# what stands at few places of a text is asked first: a capital, and no small letter
+NAMES = r"(?=\p{Lu})(?:(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+|(?<=[\p{Ll}\p{Nd},] )\p{Lu}{2,}(?!\p{L})|(?<=\A|[.!?]\s)\p{Lu}\p{Ll}+(?= \p{Lu}\p{Ll}|['’]s\s))"
+NUMBERS = r"(?![a-z])(?:[^\s\p{L}\p{N}]?\d[^\s]*|([\s(\"'“])" + _numbers + r")|\A" + _numbers
 
 
 def canonical(text: Column) -> Column:
     """The text with typed placeholders, lower-cased; tokens keep their places."""
-    first = r"(?<=\A|[.!?]\s)\p{Lu}\p{Ll}+(?= \p{Lu}\p{Ll}|['’]s\s)"
-    x = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+|(?<=[\p{Ll}\p{Nd},] )\p{Lu}{2,}(?!\p{L})|" + first, "<name>")
-    x = F.lower(x)
-    x = F.regexp_replace(x, r"[^\s\p{L}\p{N}]?\d[^\s]*|(?<![^\s(\"'“])" + _number + "(?:-" + _number + r")*(?=[\s.,;:!?)\"'”]|\z)", "<num>")
+    x = F.lower(F.regexp_replace(text, NAMES, "<name>"))
+    x = F.regexp_replace(x, NUMBERS, "$1<num>")
     return F.regexp_replace(x, r"<num>(\s)(?:" + "|".join(u.replace("/", "\\/") for u in sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?=[\s.,;:!?)]|\z)", "<num>$1<unit>")
 
 
