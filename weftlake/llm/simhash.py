@@ -227,8 +227,15 @@ def link_wide(fps: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
     # a bucket of two is done with its star; of larger ones the rows are needed again
     met = stage(stored.join(heads, "key").where((likely & (F.col("id") != F.col("b"))) | (F.col("n") > 2)), "simhash-met")
     drop_stage(heads)
-    stars = stage(linked(met.where(likely & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")), "simhash-stars")
+    near = met.where(likely & (F.col("id") != F.col("b")))
+    # a row of a large group has another head in each segment: one of them first, then those that no link has joined it to
+    tried = stage(linked(near.groupBy("id").agg(F.min_by("b", F.struct("w2", "b")).alias("b")).select(F.col("id").alias("a"), "b")), "simhash-tried")
+    early = rooted(tried)
+    apart = with_roots(near.select("id", "b"), early).join(early.select(F.col("node").alias("b"), F.col("root").alias("root2")), "b", "left").where(F.col("root") != F.coalesce("root2", "b"))
+    stars = stage(tried.unionAll(linked(apart.select(F.col("id").alias("a"), "b"))), "simhash-stars")
     first = rooted(stars)
+    for df in (tried, early):
+        drop_stage(df)
     dense = stage(with_roots(met.where("n > 2").select("key", "id", "w"), first), "simhash-dense")
     drop_stage(met)
     # of a bucket with several components, the rows outside its commonest one are compared with all the others
