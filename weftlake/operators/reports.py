@@ -17,17 +17,25 @@ def sitemap_rows(files: DataFrame, path: str, mtime: str, base: str) -> DataFram
     return files.select(loc.alias("loc"), F.date_format(mtime, "yyyy-MM-dd").alias("lastmod"))
 
 
-def sitemap_xml(files: DataFrame, path: str, mtime: str, base: str, per_file: int = 50_000) -> DataFrame:
-    """``part, n_urls, xml``: a urlset for each ``per_file`` addresses in order (50,000, the
-    format's own limit), so that no string grows with the site; all files but the last are
-    full. Addresses are numbered by ranges. No file, one empty urlset."""
+PER_FILE = 50_000  # addresses of one sitemap, the format's own limit
+
+
+def sitemap_xml(files: DataFrame, path: str, mtime: str, base: str, per_file: int | None = PER_FILE) -> DataFrame:
+    """``part, n_urls, xml``: a urlset for each ``per_file`` addresses in order, so that no
+    string grows with the site; all files but the last are full. Addresses are numbered by
+    ranges. With None there is one urlset, put together from the entries of 50,000 addresses
+    each. No file, one empty urlset."""
     rows = number(sitemap_rows(files, path, mtime, base), ["loc", "lastmod"], "rank")
-    rows = rows.withColumn("part", F.floor(F.col("rank") / per_file).cast("bigint"))
+    rows = rows.withColumn("part", F.floor(F.col("rank") / (per_file or PER_FILE)).cast("bigint"))
     entry = F.concat(F.lit("  <url>\n    <loc>"), urls.escape_xml("loc"), F.lit("</loc>\n    <lastmod>"), "lastmod", F.lit("</lastmod>\n  </url>\n"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))), lambda x: x["e"]), "")
     if rows.isEmpty():
         return rows.sparkSession.createDataFrame([(0, 0, URLSET + "</urlset>\n")], "part bigint, n_urls bigint, xml string")
-    return rows.groupBy("part").agg(F.count(F.lit(1)).alias("n_urls"), F.concat(F.lit(URLSET), body, F.lit("</urlset>\n")).alias("xml"))
+    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n_urls"), body.alias("body"))
+    if per_file is None:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "body"))), lambda x: x["body"])
+        parts = parts.agg(F.lit(0).cast("bigint").alias("part"), F.sum("n_urls").alias("n_urls"), F.array_join(ordered, "").alias("body"))
+    return parts.select("part", "n_urls", F.concat(F.lit(URLSET), "body", F.lit("</urlset>\n")).alias("xml"))
 
 
 def routes(requests: DataFrame, files: DataFrame, request: str, path: str) -> DataFrame:
