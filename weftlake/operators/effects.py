@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlake.functions import pagefix
@@ -80,12 +80,19 @@ def pixel_ratio(a: tuple[int, int, bytes] | None, b: tuple[int, int, bytes] | No
     return float((delta > 35215 * threshold**2).mean())
 
 
-def visual_diff(originals: DataFrame, local: DataFrame, threshold: float = 0.02, compare: Callable = pixel_ratio) -> DataFrame:
+def visual_diff(originals: DataFrame, local: DataFrame, threshold: float = 0.02, compare: Callable = pixel_ratio, key: list[str] | None = None) -> DataFrame:
     """``path, ratio, passed`` of two tables of captures (path, width, height, rgba); a
-    capture that is missing on one side counts as different."""
-    a = originals.select("path", F.struct("width", "height", "rgba").alias("a"))
-    rows = a.join(local.select("path", F.struct("width", "height", "rgba").alias("b")), "path", "full")
-    pair = rows.select("path", "a.width", "a.height", "a.rgba", F.col("b.width").alias("w2"), F.col("b.height").alias("h2"), F.col("b.rgba").alias("rgba2"))
+    capture that is missing on one side counts as different. Captures are paired by ``key``
+    (the path if none is given; nulls are equal); the n-th capture of a key, in the
+    order of what it shows, goes with the n-th of the other side, so none is compared twice."""
+    key = key or ["path"]
+    by = Window.partitionBy(*key).orderBy("path", "width", "height", "rgba")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.struct(*key, F.row_number().over(by).alias("_n")).alias(f"k{name}"), F.col("path").alias(f"path{name}"), *[F.col(c).alias(f"{c}{name}") for c in ("width", "height", "rgba")])
+
+    rows = side(originals, "").join(side(local, "2"), F.col("k") == F.col("k2"), "full")
+    pair = rows.select(F.coalesce("path", "path2").alias("path"), "width", "height", "rgba", "width2", "height2", "rgba2")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:

@@ -171,7 +171,7 @@ def file_totals(spark, sf_dir):
 def visual_diff(spark, sf_dir):
     rows = pages(spark, sf_dir)
     black, half = bytes([0, 0, 0, 255] * 4), bytes([0, 0, 0, 255] * 2 + [255] * 8)
-    one = rows.select(F.col("url").alias("path"), F.lit(2).alias("width"), F.lit(2).alias("height"), F.lit(black).alias("rgba"))
+    one = rows.select("page_id", F.col("url").alias("path"), F.lit(2).alias("width"), F.lit(2).alias("height"), F.lit(black).alias("rgba"))
     k = F.col("page_id") % 3
-    two = rows.where("page_id % 3 <> 1").select(F.col("url").alias("path"), F.lit(2).alias("width"), F.lit(2).alias("height"), F.when(k == 0, F.lit(black)).otherwise(F.lit(half)).alias("rgba"))
-    return effects.visual_diff(one, two)
+    two = rows.where("page_id % 3 <> 1").select("page_id", F.col("url").alias("path"), F.lit(2).alias("width"), F.lit(2).alias("height"), F.when(k == 0, F.lit(black)).otherwise(F.lit(half)).alias("rgba"))
+    return effects.visual_diff(one, two, key=["page_id", "path"])
