@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlake.functions import pagefix
+from weftlake.staging import bound_batches
 
 
 def transform_files(files: DataFrame, change: Callable[[bytes], bytes], path: str = "path", body: str = "bytes") -> DataFrame:
@@ -27,6 +28,7 @@ def transform_files(files: DataFrame, change: Callable[[bytes], bytes], path: st
                     out.append((p, x, len(x), len(x), str(e) or type(e).__name__))
             yield pd.DataFrame(out, columns=["path", "bytes", "before", "after", "error"])
 
+    bound_batches(files.sparkSession)
     return files.select(path, body).mapInPandas(run, "path string, bytes binary, before bigint, after bigint, error string")
 
 
@@ -61,6 +63,7 @@ def encode_variants(plan: DataFrame, images: DataFrame, encode: Callable[[bytes,
                     out.append((file, None, str(e) or type(e).__name__))
             yield pd.DataFrame(out, columns=["file", "bytes", "error"])
 
+    bound_batches(plan.sparkSession)
     return rows.mapInPandas(run, "file string, bytes binary, error string")
 
 
@@ -103,4 +106,5 @@ def visual_diff(originals: DataFrame, local: DataFrame, threshold: float = 0.02,
                 out.append((p, compare(one, two)))
             yield pd.DataFrame(out, columns=["path", "ratio"])
 
+    bound_batches(originals.sparkSession)
     return pair.mapInPandas(run, "path string, ratio double").withColumn("passed", F.col("ratio") <= threshold)

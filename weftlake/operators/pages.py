@@ -11,17 +11,18 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlake.functions import dom, markup, pagefix, urls
 from weftlake.functions.markup import NOISE_CLASS
+from weftlake.staging import bound_batches
 
 C = Column | str
 
 
 def _each(f: Callable, kind: str, fields: tuple[str, ...] = ()) -> Callable[..., Column]:
-    """A function of plain values, run null-safe over batches: a null page gives null.
+    """A function of plain values, run null-safe over small batches: a null page gives null.
     ``fields`` names those of a struct, which the function returns as a dict."""
 
     def make(*cols: C) -> Column:
@@ -29,6 +30,8 @@ def _each(f: Callable, kind: str, fields: tuple[str, ...] = ()) -> Callable[...,
             rows = [None if row[0] is None else f(*row) for row in zip(*series)]
             return pd.DataFrame([r or {} for r in rows], columns=list(fields)) if fields else pd.Series(rows, dtype=object)
 
+        if spark := SparkSession.getActiveSession():
+            bound_batches(spark)
         # pandas_udf reads the arguments' number from the signature
         if len(cols) == 1:
             return F.pandas_udf(lambda a: batch(a), kind, F.PandasUDFType.SCALAR)(*cols)

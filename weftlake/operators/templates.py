@@ -12,7 +12,7 @@ from weftlake.functions import markup, pagefix
 from weftlake.operators import answers
 from weftlake.operators.answers import Generate
 from weftlake.operators.pages import _each
-from weftlake.staging import stage
+from weftlake.staging import bound_batches, stage
 
 SYSTEM = "You are given a page that stands for all pages of one structure. Return its HTML with the parts that vary from page to page replaced by {{slot_name}} placeholders, and nothing else."
 
@@ -79,4 +79,5 @@ def refine(pages: DataFrame, done: DataFrame, call: Callable[[list[str]], list[s
                     out.append((page, html, "error", str(e) or type(e).__name__))
             yield pd.DataFrame(out, columns=["page", "html", "status", "reason"])
 
+    bound_batches(todo.sparkSession)
     return todo.mapInPandas(run, "page string, html string, status string, reason string").unionByName(skipped)

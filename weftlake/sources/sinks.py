@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftlake.staging import bound_batches
+
 
 def write_pages(pages: DataFrame, folder: str, by_language: str | None = None) -> None:
     """Pages as a Parquet table, the form to keep; partitioned by a language column if given."""
@@ -39,6 +41,7 @@ def export_files(files: DataFrame, folder: str, path: str = "local_path", body:
                     out.append((p, 0, str(e)))
             yield pd.DataFrame(out, columns=["path", "bytes", "error"])
 
+    bound_batches(files.sparkSession)
     return files.select(path, body).mapInPandas(run, "path string, bytes bigint, error string")
 
 
