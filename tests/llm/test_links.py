@@ -89,3 +89,21 @@ def test_a_dense_group_makes_few_candidates(spark):
             a, b = find(i), find(int(j))
             top[max(a, b)] = min(a, b)
     assert roots == {fps[i]: fps[find(i)] for i in range(len(fps))}
+
+
+@pytest.mark.parametrize("count", [1_000, 10**6, 10**9])
+def test_no_near_link_is_lost(count):
+    """Whatever differs in fewer bits than an order of the bits has segments meets, even
+    where the differing bits are chosen to lie in as many segments as possible."""
+    bits, tables = simhash.wide_scheme(count)
+    places = simhash.wide_places(bits, tables)
+    assert len({tuple(sorted(p)) for p in places.tolist()}) == tables and all(len(set(p)) == bits for p in places.tolist())
+    rng = np.random.default_rng(5)
+    one = rng.integers(0, 2**63, simhash.WIDE).astype(np.uint64)
+    left, two = set(range(tables)), one.copy()
+    for _ in range(64 * simhash.WIDE // bits - 1):
+        most = np.bincount(places[sorted(left)].ravel() if left else places.ravel(), minlength=64 * simhash.WIDE)
+        bit = int(most.argmax())
+        two[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        left = {t for t in left if bit not in places[t]}
+    assert (simhash.wide_keys(one[None], places) == simhash.wide_keys(two[None], places)).any()

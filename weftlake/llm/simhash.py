@@ -18,7 +18,10 @@ emit its pairs.
 :func:`keep_first` works on wider fingerprints, several words of 64 bits over five-word
 shingles: the distance of 512 bits tells a Jaccard similarity of 0.8 from 0.7, which that
 of 64 bits can't. Their segments are about log2 of the number of fingerprints wide and
-are looked up as they are (balls of radius 0), the rest is the same.
+are looked up as they are (balls of radius 0), the rest is the same. The segments of one
+order of the bits have none in common, so no link of fewer differing bits than there are
+segments in an order is lost (32 of 16 bits, 17 of 30); links of more bits, up to the linking
+distance, are found at the recall for which the number of segments is chosen.
 
 Defined results: null, empty and word-free texts have fingerprint zero and link
 like any other; repeated rows share a component; an empty table gives no rows.
@@ -150,9 +153,13 @@ def wide_scheme(count: int) -> tuple[int, int]:
 
 
 def wide_places(bits: int, tables: int) -> np.ndarray:
-    """Which bits each segment consists of, in an order that a hash decides."""
-    order = _mix(np.arange(tables * 64 * WIDE, dtype=np.uint64) + np.uint64(1)).reshape(tables, -1)
-    return np.argsort(order, axis=1, kind="stable")[:, :bits]
+    """Which bits each segment consists of. Segments are cut one after the other from orders
+    of all bits that a hash decides, and those of one order have no bit in common: whatever
+    differs in fewer bits than an order has segments agrees in one of them."""
+    each = 64 * WIDE // bits
+    rounds = -(-tables // each)
+    order = _mix(np.arange(rounds * 64 * WIDE, dtype=np.uint64) + np.uint64(1)).reshape(rounds, -1)
+    return np.argsort(order, axis=1, kind="stable")[:, : each * bits].reshape(-1, bits)[:tables]
 
 
 def wide_keys(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
