@@ -107,3 +107,31 @@ def test_no_near_link_is_lost(count):
         two[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
         left = {t for t in left if bit not in places[t]}
     assert (simhash.wide_keys(one[None], places) == simhash.wide_keys(two[None], places)).any()
+
+
+def test_large_buckets_give_the_links_of_all_pairs(spark, monkeypatch):
+    """Groups of near copies that don't all link with each other, with buckets of many rows."""
+    rng = np.random.default_rng(9)
+    most = int(64 * simhash.WIDE * simhash.WIDE_SHARE)
+    rows = []
+    for flips in (30, 42, 46):
+        base = rng.integers(0, 2, 64 * simhash.WIDE, dtype=np.uint8)
+        for _ in range(150):
+            x = base.copy()
+            x[rng.choice(len(x), flips, replace=False)] ^= 1
+            rows.append(np.packbits(x, bitorder="little").view("<i8"))
+    fps = spark.createDataFrame([(i, [int(y) for y in x]) for i, x in enumerate(rows)], "id bigint, fp array<bigint>")
+    monkeypatch.setattr(simhash, "wide_scheme", lambda n: (4, 60))  # all pairs meet somewhere
+    raw = np.array(rows).view(np.uint64)
+    top = list(range(len(raw)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(raw)):
+        for j in np.flatnonzero(np.bitwise_count(raw[i + 1 :] ^ raw[i]).sum(1) <= most) + i + 1:
+            a, b = find(i), find(int(j))
+            top[max(a, b)] = min(a, b)
+    assert {r["id"]: r["root"] for r in simhash.link_wide(fps).collect()} == {i: find(i) for i in range(len(raw))}

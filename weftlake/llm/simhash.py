@@ -51,6 +51,8 @@ SCHEMES = (((0, 16, 1), (16, 16, 0), (32, 16, 0), (48, 16, 0)), ((0, 21, 1), (21
 WIDE, WIDE_SHARE, WIDE_WORDS = 8, 0.17, 5
 #: The share of bits in which texts of similarity 0.8 differ, and how likely they are to meet.
 WIDE_DIFFER, WIDE_RECALL = 0.155, 0.94
+#: Up to so many rows of a bucket are compared by pairs at once; rounds of stars in larger ones before pairs.
+FEW, STARS = 6, 3
 WIDE_SEEDS = _mix(np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -212,65 +214,86 @@ def link_wide(fps: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
             rows = [_mix(keys.ravel()).view(np.int64), np.repeat(b.column(0).to_numpy(), tables), np.repeat(raw[:, 0], tables)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["key", "id", "w"])
 
-    likely = F.bit_count(F.col("w").bitwiseXOR(F.col("w2"))) <= int(64 * share) + 12
+    near_word = int(64 * share) + 12
+    likely = F.bit_count(F.col("w").bitwiseXOR(F.col("w2"))) <= near_word
+    near = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(WIDE)), F.lit(0)) <= most
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-likely")
         one, two = fps.select(F.col("id").alias("a"), F.col("fp").alias("x")), fps.select(F.col("id").alias("b"), F.col("fp").alias("y"))
-        distance = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return pairs.join(one, "a").join(two, "b").where(distance <= most).select("a", "b")
+        return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
 
     def rooted(links: DataFrame) -> DataFrame:
         """``node, root`` of the fingerprints that have a link."""
         return stage(components(links, "simhash-star"), "simhash-first")
 
-    def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        return rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    def mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """The ``rows(key, id, x)`` in buckets of several components, with their root and the
+        bucket's commonest one."""
+        rows = stage(rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "simhash-dense")
+        by_key = [F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root", True).alias("main")]
+        main = stage(rows.groupBy("key").agg(*by_key).where("lo <> hi").select("key", "main"), "simhash-main")
+        out = stage(rows.join(main, "key"), "simhash-rows")
+        for df in (rows, main):
+            drop_stage(df)
+        return out
 
     # segments are cut anew where they are needed: that takes less than writing and reading them
     stored = fps.select("id", "fp").mapInArrow(cut, "key bigint, id bigint, w bigint")
-    head = [F.min_by("id", "w").alias("b"), F.min("w").alias("w2")]
-    heads = stage(stored.groupBy("key").agg(*head, F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-heads")
-    # a bucket of two is done with its star; of larger ones the rows are needed again
+    heads = stage(stored.groupBy("key").agg(F.min_by("id", "w").alias("b"), F.min("w").alias("w2"), F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-heads")
+    # a bucket of two is done with its star
     met = stage(stored.join(heads, "key").where((likely & (F.col("id") != F.col("b"))) | (F.col("n") > 2)), "simhash-met")
     drop_stage(heads)
-    stars = stage(linked(met.where(likely & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")), "simhash-stars")
-    first = rooted(stars)
-    dense = stage(with_roots(met.where("n > 2").select("key", "id", "w"), first), "simhash-dense")
+    two = met.where("n = 2").select(F.col("id").alias("a"), "b")
+    # all pairs of a bucket of a few
+    few = met.where(F.col("n").between(3, FEW)).groupBy("key").agg(F.collect_list(F.struct("id", "w")).alias("m"))
+    close = lambda x, y: F.bit_count(x["w"].bitwiseXOR(y["w"])) <= near_word
+    after = lambda x: F.filter("m", lambda y: (y["id"] > x["id"]) & close(x, y))
+    few = few.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(after(x), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))).alias("p")).select("p.a", "p.b")
+    # rows of larger buckets meet the least head that they have first; their fingerprints then travel with them
+    large = met.where(F.col("n") > FEW)
+    least = large.where(likely & (F.col("id") != F.col("b"))).groupBy("id").agg(F.min_by("b", "w2").alias("b")).select(F.col("id").alias("a"), "b")
+    links = stage(linked(two.unionAll(few).unionAll(least)), "simhash-stars")
+    roots = rooted(links)
+    rows = mixed(large.select("key", "id").join(fps.select("id", F.col("fp").alias("x")), "id"), roots)
     drop_stage(met)
+    for _ in range(STARS):
+        # a star around a row outside the commonest component: what it joins needs no pairs
+        other = stage(rows.where("root <> main").groupBy("key").agg(F.min(F.struct(F.xxhash64("id"), F.col("id").alias("b"), F.col("x").alias("y"), F.col("root").alias("root2"))).alias("o")).select("key", "o.b", "o.y", "o.root2"), "simhash-other")
+        more = stage(rows.join(other, "key").where((F.col("root") != F.col("root2")) & near).select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct(), "simhash-more")
+        drop_stage(other)
+        if more.isEmpty():
+            break
+        old = links, roots, rows
+        links = stage(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more), "simhash-stars")
+        roots = rooted(links)
+        rows = mixed(rows.select("key", "id", "x"), roots)
+        for df in (*old, more):
+            drop_stage(df)
     # of a bucket with several components, the rows outside its commonest one are compared with all the others
-    by_key = [F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root", True).alias("main")]
-    mixed = stage(dense.groupBy("key").agg(*by_key).where("lo <> hi").select("key", "main"), "simhash-mixed")
-    rows = stage(dense.join(mixed, "key"), "simhash-rows")
-    for df in (dense, mixed):  # nothing reads them any more
-        drop_stage(df)
-    # a second star first, around a row outside the commonest component: what it joins needs no pairs
-    other = stage(rows.where("root <> main").groupBy("key").agg(*head), "simhash-other")
-    more = stage(linked(rows.join(other, "key").where(likely & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")), "simhash-more")
-    second = rooted(stars.unionAll(more))
-    rows = with_roots(rows.select("key", "id", "w"), second)
-    main = stage(rows.groupBy("key").agg(*by_key).where("lo <> hi").select("key", "main"), "simhash-main")
-    rows = stage(rows.join(main, "key"), "simhash-rows")
-    others = rows.where("root <> main").select("key", F.col("id").alias("b"), F.col("root").alias("root2"), F.col("w").alias("w2"))
+    others = rows.where("root <> main").select("key", F.col("id").alias("b"), F.col("root").alias("root2"), F.col("x").alias("y"))
     # two rows outside it meet once
     once = (F.col("root") == F.col("main")) | (F.col("id") < F.col("b"))
-    pairs = rows.join(others, "key").where(once & likely & (F.col("root") != F.col("root2")))
-    found = linked(pairs.select(F.col("id").alias("a"), "b"))
-    top = found.unionAll(second.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    roots = stage(components(top, "simhash-all"), "simhash-last")
-    for df in (other, main, rows, stars, more, first, second):
+    found = rows.join(others, "key").where(once & (F.col("root") != F.col("root2")) & near).select(F.col("root").alias("a"), F.col("root2").alias("b"))
+    top = found.unionAll(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    last = stage(components(top, "simhash-all"), "simhash-last")
+    for df in (rows, links, roots):
         drop_stage(df)
-    return fps.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    return fps.select("id").join(last.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def wide_near_duplicates(docs: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
     """``doc_id, component_id`` of every row, by wide fingerprints."""
     rows = stage(wide_fingerprints(docs), "simhash-rows")
     fps = stage(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first_id")), "simhash-fps")
+    ids = stage(rows.select("doc_id", "id"), "simhash-ids")
+    drop_stage(rows)
     roots = stage(link_wide(fps.select("id", "fp"), share), "simhash-roots")
     lowest = stage(roots.join(fps, "id").groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-lowest")
     named = stage(roots.join(lowest, "root").select("id", "component_id"), "simhash-named")
-    return rows.join(named, "id").select("doc_id", "component_id")
+    for df in (fps, roots, lowest):
+        drop_stage(df)
+    return ids.join(named, "id").select("doc_id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
