@@ -1,0 +1,37 @@
+"""Windows of one signature: which pairs of texts are made."""
+
+import itertools
+import random
+
+import pytest
+
+from weftlake.llm import compact
+
+
+def windows_of(group, n, rng, contexts=None):
+    """``sig, tid, win`` of n texts with one signature and random contexts, or some of few."""
+    rows = []
+    for k in range(n):
+        right, left = (rng.choice(contexts) if contexts else (rng.getrandbits(26), rng.getrandbits(24)))
+        win = (right & (1 << 14) - 1) << 50 | left << 26 | rng.getrandbits(26)
+        rows.append((group << 12 | right >> 14, rng.getrandbits(62), win - (1 << 64) if win >> 63 else win))
+    return rows
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_all_pairs_of_short_runs(spark, parts):
+    rng = random.Random(parts)
+    runs = [windows_of(1000 + g, rng.choice([2, 3, 9, 30, compact.WHOLE]), rng) for g in range(40)]
+    # a long run of contexts that few share
+    contexts = [(rng.getrandbits(26), rng.getrandbits(24)) for _ in range(30)]
+    long = windows_of(5000, 300, rng, contexts)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        found = spark.createDataFrame([r for run in [*runs, long] for r in run], "sig bigint, tid bigint, win bigint")
+        got = {(r["a"], r["b"]) for r in compact.neighbours(found).select("a", "b").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = {tuple(sorted((x[1], y[1]))) for run in runs for x, y in itertools.combinations(run, 2)}
+    assert want <= got
+    # of the long run no more than WHOLE a window
+    assert len(got - want) <= compact.WHOLE * len(long)
