@@ -51,8 +51,9 @@ SCHEMES = (((0, 16, 1), (16, 16, 0), (32, 16, 0), (48, 16, 0)), ((0, 21, 1), (21
 WIDE, WIDE_SHARE, WIDE_WORDS = 8, 0.17, 5
 #: The share of bits in which texts of similarity 0.8 differ, and how likely they are to meet.
 WIDE_DIFFER, WIDE_RECALL = 0.155, 0.94
-#: Up to so many rows of a bucket are compared by pairs at once; rounds of stars in larger ones before pairs.
-FEW, STARS = 6, 3
+#: Up to so many rows of a bucket are compared by pairs at once; rounds of stars in larger ones before pairs, which end
+#: when one has made fewer links than this share of the buckets of several components.
+FEW, STARS, WORTH = 6, 3, 0.05
 WIDE_SEEDS = _mix(np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -227,16 +228,18 @@ def link_wide(fps: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
         """``node, root`` of the fingerprints that have a link."""
         return stage(components(links, "simhash-star"), "simhash-first")
 
-    def mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        """The ``rows(key, id, x)`` in buckets of several components, with their root and the
-        bucket's commonest one."""
-        rows = stage(rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "simhash-dense")
-        by_key = [F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root", True).alias("main")]
-        main = stage(rows.groupBy("key").agg(*by_key).where("lo <> hi").select("key", "main"), "simhash-main")
-        out = stage(rows.join(main, "key"), "simhash-rows")
-        for df in (rows, main):
-            drop_stage(df)
-        return out
+    def renamed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """The ``rows(key, id, x)`` with the roots of their components."""
+        return stage(rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "simhash-dense")
+
+    def hubs(rows: DataFrame) -> DataFrame:
+        """Of the buckets of several components the commonest one, and a row of another: ``key,
+        main, b, y, root2``."""
+        row = F.struct("root", "id", "x")
+        by_key = [F.min(row).alias("lo"), F.max(row).alias("hi"), F.mode("root", True).alias("main")]
+        several = rows.groupBy("key").agg(*by_key).where("lo.root <> hi.root")
+        several = several.select("key", "main", F.when(F.col("lo.root") != F.col("main"), F.col("lo")).otherwise(F.col("hi")).alias("o"))
+        return stage(several.select("key", "main", F.col("o.id").alias("b"), F.col("o.x").alias("y"), F.col("o.root").alias("root2")), "simhash-main")
 
     # segments are cut anew where they are needed: that takes less than writing and reading them
     stored = fps.select("id", "fp").mapInArrow(cut, "key bigint, id bigint, w bigint")
@@ -255,21 +258,27 @@ def link_wide(fps: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
     least = large.where(likely & (F.col("id") != F.col("b"))).groupBy("id").agg(F.min_by("b", "w2").alias("b")).select(F.col("id").alias("a"), "b")
     links = stage(linked(two.unionAll(few).unionAll(least)), "simhash-stars")
     roots = rooted(links)
-    rows = mixed(large.select("key", "id").join(fps.select("id", F.col("fp").alias("x")), "id"), roots)
+    rows = renamed(large.select("key", "id").join(fps.select("id", F.col("fp").alias("x")), "id"), roots)
     drop_stage(met)
+    main = hubs(rows)
     for _ in range(STARS):
         # a star around a row outside the commonest component: what it joins needs no pairs
-        other = stage(rows.where("root <> main").groupBy("key").agg(F.min(F.struct(F.xxhash64("id"), F.col("id").alias("b"), F.col("x").alias("y"), F.col("root").alias("root2"))).alias("o")).select("key", "o.b", "o.y", "o.root2"), "simhash-other")
-        more = stage(rows.join(other, "key").where((F.col("root") != F.col("root2")) & near).select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct(), "simhash-more")
-        drop_stage(other)
-        if more.isEmpty():
-            break
-        old = links, roots, rows
+        more = stage(rows.join(main, "key").where((F.col("root") != F.col("root2")) & near).select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct(), "simhash-more")
+        # few links don't repay another round: the last comparison makes them as well
+        n = more.count()
+        old = links, roots, rows, main
         links = stage(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more), "simhash-stars")
         roots = rooted(links)
-        rows = mixed(rows.select("key", "id", "x"), roots)
+        rows = renamed(rows.select("key", "id", "x"), roots)
+        main = hubs(rows)
         for df in (*old, more):
             drop_stage(df)
+        if n < WORTH * main.count():
+            break
+    wide = rows
+    rows = stage(wide.join(main.select("key", "main"), "key"), "simhash-rows")
+    for df in (wide, main):
+        drop_stage(df)
     # of a bucket with several components, the rows outside its commonest one are compared with all the others
     others = rows.where("root <> main").select("key", F.col("id").alias("b"), F.col("root").alias("root2"), F.col("x").alias("y"))
     # two rows outside it meet once
