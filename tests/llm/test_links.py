@@ -135,3 +135,42 @@ def test_large_buckets_give_the_links_of_all_pairs(spark, monkeypatch):
             a, b = find(i), find(int(j))
             top[max(a, b)] = min(a, b)
     assert {r["id"]: r["root"] for r in simhash.link_wide(fps).collect()} == {i: find(i) for i in range(len(raw))}
+
+
+def test_rounds_rename_only_what_is_outside_a_bucket_s_main_component(spark, monkeypatch):
+    """A group of near copies, and texts that share buckets with it: some are near it by one
+    of its members only, some not at all. Its rows are named once, not in each round."""
+    rng = np.random.default_rng(4)
+    most = int(64 * simhash.WIDE * simhash.WIDE_SHARE)
+    base = rng.integers(0, 2, 64 * simhash.WIDE, dtype=np.uint8)
+    bits = []
+    for flips, n in ((10, 300), (most - 8, 40), (most + 4, 40), (200, 40)):
+        for _ in range(n):
+            bits.append(base.copy())
+            bits[-1][rng.choice(len(base), flips, replace=False)] ^= 1
+    raw = np.packbits(np.array(bits), axis=1, bitorder="little").view(np.uint64)
+    fps = spark.createDataFrame([(i, [int(y) for y in x]) for i, x in enumerate(raw.view(np.int64))], "id bigint, fp array<bigint>")
+    monkeypatch.setattr(simhash, "wide_scheme", lambda n: (4, 60))
+    real, named = simhash.stage, []
+
+    def counted(df, label):
+        out = real(df, label)
+        if label in ("simhash-dense", "simhash-others"):
+            named.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stage", counted)
+    roots = {r["id"]: r["root"] for r in simhash.link_wide(fps).collect()}
+    top = list(range(len(raw)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(raw)):
+        for j in np.flatnonzero(np.bitwise_count(raw[i + 1 :] ^ raw[i]).sum(1) <= most) + i + 1:
+            a, b = find(i), find(int(j))
+            top[max(a, b)] = min(a, b)
+    assert roots == {i: find(i) for i in range(len(raw))}
+    assert len(named) > 2 and max(named[1:]) < named[0] / 2

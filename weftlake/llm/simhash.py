@@ -228,18 +228,16 @@ def link_wide(fps: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
         """``node, root`` of the fingerprints that have a link."""
         return stage(components(links, "simhash-star"), "simhash-first")
 
-    def renamed(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        """The ``rows(key, id, x)`` with the roots of their components."""
-        return stage(rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "simhash-dense")
-
-    def hubs(rows: DataFrame) -> DataFrame:
-        """Of the buckets of several components the commonest one, and a row of another: ``key,
-        main, b, y, root2``."""
-        row = F.struct("root", "id", "x")
-        by_key = [F.min(row).alias("lo"), F.max(row).alias("hi"), F.mode("root", True).alias("main")]
-        several = rows.groupBy("key").agg(*by_key).where("lo.root <> hi.root")
-        several = several.select("key", "main", F.when(F.col("lo.root") != F.col("main"), F.col("lo")).otherwise(F.col("hi")).alias("o"))
-        return stage(several.select("key", "main", F.col("o.id").alias("b"), F.col("o.x").alias("y"), F.col("o.root").alias("root2")), "simhash-main")
+    def hubs(others: DataFrame, mains: DataFrame) -> DataFrame:
+        """A row outside the bucket's main component: ``key, main, root2, y``."""
+        outside = others.join(mains, "key").where("root <> main")
+        least = outside.groupBy("key", "main").agg(F.min(F.struct("root", "id", "x")).alias("o"))
+        return stage(least.select("key", "main", F.col("o.root").alias("root2"), F.col("o.x").alias("y")), "simhash-hubs")
+
+    def renamed(rows: DataFrame, node: str, name: str, roots: DataFrame) -> DataFrame:
+        """``name``: the root that the component of ``node`` has now."""
+        now = roots.select(F.col("node").alias(node), F.col("root").alias("now"))
+        return rows.join(now, node, "left").withColumn(name, F.coalesce("now", name)).drop("now")
 
     # segments are cut anew where they are needed: that takes less than writing and reading them
     stored = fps.select("id", "fp").mapInArrow(cut, "key bigint, id bigint, w bigint")
@@ -258,35 +256,46 @@ def link_wide(fps: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
     least = large.where(likely & (F.col("id") != F.col("b"))).groupBy("id").agg(F.min_by("b", "w2").alias("b")).select(F.col("id").alias("a"), "b")
     links = stage(linked(two.unionAll(few).unionAll(least)), "simhash-stars")
     roots = rooted(links)
-    rows = renamed(large.select("key", "id").join(fps.select("id", F.col("fp").alias("x")), "id"), roots)
+    named = fps.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.col("fp").alias("x"), F.coalesce("root", "id").alias("root"))
+    rows = stage(large.select("key", "id").join(named, "id"), "simhash-dense")
     drop_stage(met)
-    main = hubs(rows)
+    # a bucket's commonest component is its main one, also where it has joined another since: the rows in it then are
+    # named by the bucket, so only the others get new roots
+    main = rows.groupBy("key").agg(F.mode("root", True).alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    mains = stage(main.where("lo <> hi").select("key", "main"), "simhash-main")
+    wide, rows = rows, stage(rows.join(mains, "key"), "simhash-rows")
+    drop_stage(wide)
+    bulk = rows.where("root = main").select("key", "x")
+    others = stage(rows.where("root <> main").select("key", "id", "x", "root"), "simhash-others")
+    hub = hubs(others, mains)
     for _ in range(STARS):
-        # a star around a row outside the commonest component: what it joins needs no pairs
-        more = stage(rows.join(main, "key").where((F.col("root") != F.col("root2")) & near).select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct(), "simhash-more")
+        # a star around a row outside the main component: what it joins needs no pairs
+        one = bulk.join(hub, "key").where(near).select(F.col("main").alias("a"), F.col("root2").alias("b"))
+        two = others.join(hub, "key").where((F.col("root") != F.col("root2")) & near).select(F.col("root").alias("a"), F.col("root2").alias("b"))
+        more = stage(one.unionAll(two).distinct(), "simhash-more")
         # few links don't repay another round: the last comparison makes them as well
         n = more.count()
-        old = links, roots, rows, main
+        old = links, roots, others, mains, hub
         links = stage(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more), "simhash-stars")
         roots = rooted(links)
-        rows = renamed(rows.select("key", "id", "x"), roots)
-        main = hubs(rows)
+        others = stage(renamed(others, "id", "root", roots).select("key", "id", "x", "root"), "simhash-others")
+        mains = stage(renamed(mains, "main", "main", roots).select("key", "main"), "simhash-main")
+        hub = hubs(others, mains)
         for df in (*old, more):
             drop_stage(df)
-        if n < WORTH * main.count():
+        if n < WORTH * hub.count():
             break
-    wide = rows
-    rows = stage(wide.join(main.select("key", "main"), "key"), "simhash-rows")
-    for df in (wide, main):
-        drop_stage(df)
-    # of a bucket with several components, the rows outside its commonest one are compared with all the others
-    others = rows.where("root <> main").select("key", F.col("id").alias("b"), F.col("root").alias("root2"), F.col("x").alias("y"))
-    # two rows outside it meet once
-    once = (F.col("root") == F.col("main")) | (F.col("id") < F.col("b"))
-    found = rows.join(others, "key").where(once & (F.col("root") != F.col("root2")) & near).select(F.col("root").alias("a"), F.col("root2").alias("b"))
-    top = found.unionAll(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    # of the rows that were not in the main component, those still outside it are compared with those in it, and with
+    # each other unless both are of their own commonest component; two that are not meet once
+    outside = others.select("key", F.col("id").alias("b"), F.col("root").alias("root2"), F.col("x").alias("y"))
+    one = bulk.join(outside.join(mains, "key").where("root2 <> main"), "key").where(near).select(F.col("main").alias("a"), F.col("root2").alias("b"))
+    second = stage(others.groupBy("key").agg(F.mode("root", True).alias("second")), "simhash-second")
+    rest = outside.join(second, "key").where("root2 <> second")
+    once = (F.col("root") == F.col("second")) | (F.col("id") < F.col("b"))
+    two = others.join(rest, "key").where(once & (F.col("root") != F.col("root2")) & near).select(F.col("root").alias("a"), F.col("root2").alias("b"))
+    top = one.unionAll(two).unionAll(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     last = stage(components(top, "simhash-all"), "simhash-last")
-    for df in (rows, links, roots):
+    for df in (rows, links, roots, others, mains, hub, second):
         drop_stage(df)
     return fps.select("id").join(last.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
