@@ -144,7 +144,7 @@ def test_rounds_rename_only_what_is_outside_a_bucket_s_main_component(spark, mon
     most = int(64 * simhash.WIDE * simhash.WIDE_SHARE)
     base = rng.integers(0, 2, 64 * simhash.WIDE, dtype=np.uint8)
     bits = []
-    for flips, n in ((10, 300), (most - 8, 40), (most + 4, 40), (200, 40)):
+    for flips, n in ((10, 400), (most - 8, 40), (most + 4, 40), (200, 40)):
         for _ in range(n):
             bits.append(base.copy())
             bits[-1][rng.choice(len(base), flips, replace=False)] ^= 1
