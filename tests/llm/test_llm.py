@@ -818,3 +818,21 @@ def test_components_of_a_long_chain(spark):
     assert {r["node"]: r["root"] for r in got} == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
 
 
+
+
+def test_passages_do_not_depend_on_shingles_that_stand_twice():
+    """Distinct shingles are counted where they stand, others as sets: a stretch that stands
+    twice at a text's end, far from the passage, changes no passage before it."""
+    rng = np.random.default_rng(8)
+    found = 0
+    for _ in range(200):
+        sa = rng.permutation(10_000)[:260].astype("<u4")
+        sb = np.concatenate((rng.permutation(10_000)[:40] + 20_000, sa[60:200], rng.permutation(10_000)[:60] + 20_000)).astype("<u4")
+        n = int(rng.integers(0, 40))
+        sb[rng.choice(np.arange(40, 180), n, replace=False)] = 40_000 + rng.permutation(50_000)[:n]
+        x = next(x for x in range(120, 200) if sa[x] == sb[x - 20])
+        tail = np.repeat(np.arange(100_000, 100_010), 2).astype("<u4")
+        plain, twice = compact.verify_near(sa, sb, [([x], [x - 20])]), compact.verify_near(np.concatenate((sa, tail)), np.concatenate((sb, tail + 50)), [([x], [x - 20])])
+        assert plain == twice
+        found += bool(plain)
+    assert 20 < found <= 200
